@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, pieces, pii, quality, sharding, simhash, urls, vecdedup
+from . import ctw, decontaminate, licences, pieces, pii, quality, sharding, simhash, urls, vecdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_sharding, op5_sentencepiece, op6_quality_classifier, op7_pii, op8_simhash, op9_license_scan, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_sharding, op4_lm_scoring, op5_sentencepiece, op6_quality_classifier, op7_pii, op8_simhash, op9_license_scan, op10_embedding_dedup)}
 
 
 OP2_SQL = r"""
