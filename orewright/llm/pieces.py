@@ -10,8 +10,8 @@ of the pieces; vectorised maxima over the candidates store backpointers, which a
   only if it is stable after the piece that ends where it starts, and the result equals merging by rank exactly. Stability
   is tested for whole arrays of pairs, by replaying both pieces' merges side by side.
 
-Words over ``_LONG`` characters are cut where no piece can span two neighbouring characters; what still is longer is merged
-(or searched) one by one, with the same result. Characters without a piece become byte pieces.
+Words are first cut where no piece can span two neighbouring characters, such as before most punctuation; parts that still
+have over ``_LONG`` characters are merged (or searched) one by one, with the same result. Characters without a piece become byte pieces.
 
 The tables are as large as the vocabulary, whatever the data. Defined cases: null and empty texts have no pieces and decode
 to the empty text; a text is given back exactly unless it holds U+2581, which the format itself reads as a space.
@@ -35,7 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _LONG = 64
-_KEPT = 400_000
+_KEPT = 600_000
+_MARKED, _TOLD = 21, 21
 _NONE = -np.inf
 
 
@@ -67,6 +68,9 @@ class Model:
             raise ValueError("two pieces share a hash")
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
+        self.marked = np.zeros(1 << _MARKED, dtype=bool)
+        self.marked[self.keys >> np.uint64(64 - _MARKED)] = True
+        self.told_pairs, self.told = np.full(1 << _TOLD, -1, dtype=np.int64), np.zeros(1 << _TOLD, dtype=bool)
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.longest = int(self.lengths[ids].max(initial=1))
         self.spans = {t[k : k + 2] for t in self.by_text for k in range(len(t) - 1)}
@@ -103,9 +107,13 @@ class Model:
         return cls(texts, np.array([p.score for p in m.pieces], dtype=np.float32), usable, byte_ids, raw, unknown, m.trainer_spec.model_type == 1, m.normalizer_spec.add_dummy_prefix)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids by hash, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_ids[at], -1)
+        """Piece ids by hash, -1 where there is none. A bit map of the keys' high bits turns most others away."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        maybe = np.flatnonzero(self.marked[h >> np.uint64(64 - _MARKED)])
+        g = h[maybe]
+        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == g, self.key_ids[at], -1)
+        return out
 
     def merge(self, text: str, told: list | None = None) -> list[str]:
         """Merges by rank: the best score first, of equals the leftmost. told: gets (score, first, last) after each merge."""
@@ -152,6 +160,19 @@ class Model:
                 self.left[k, i], self.right[k, i] = self.by_text.get(a, -1), self.by_text.get(b, -1)
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As ``replayed``; remembers answers in a table of fixed size."""
+        pair = a * len(self.texts) + b
+        slot = (pair.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - _TOLD)).astype(np.int64)
+        new = np.flatnonzero(self.told_pairs[slot] != pair)
+        out = self.told[slot]
+        if len(new):
+            some, at, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            ok = self.replayed(a[new][at], b[new][at])
+            out[new] = ok[back]
+            self.told_pairs[slot[new][at]], self.told[slot[new][at]] = some, ok
+        return out
+
+    def replayed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of a and b together gives a and b again."""
         ok = np.ones(len(a), dtype=bool)
         on, i, j = np.arange(len(a)), np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
@@ -169,62 +190,70 @@ class Model:
         return ok
 
 
+class _Store:
+    """Strings and their ids, in flat arrays."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, names: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes])
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))
+
+    def ids(self, k: np.ndarray) -> np.ndarray:
+        size = self.size[k]
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[k] - (np.cumsum(size) - size), size)]
+
+
 class Encoder:
-    """Encodes lists of texts; keeps the words it has seen, up to a bound."""
+    """Encodes lists of texts; keeps the words and parts of words that it has seen, up to a bound."""
 
     def __init__(self, model: Model):
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.known, self.parts = _Store(), _Store()
 
     def words(self, text: str) -> list[str]:
         return _WORDS.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _KEPT:
-            self._forget()
-        known, each = self.known, [self.words(t) for t in texts]
-        new = list({w for words in each for w in words if w not in known})
-        if new:
-            ids = self._learn(new)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            begin = len(self.flat) + np.cumsum(sizes) - sizes
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.flat, self.start, self.size = np.concatenate([self.flat, *ids]), np.concatenate([self.start, begin]), np.concatenate([self.size, sizes])
-        out = []
-        for words in each:
-            k = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-            size = self.size[k]
-            shift = np.cumsum(size) - size
-            out.append(self.flat[np.arange(int(size.sum())) + np.repeat(self.start[k] - shift, size)])
-        return out
-
-    def _learn(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of new words: long ones in parts, then all parts of a length together."""
-        parts: dict[str, np.ndarray | None] = {}
-        made: list[list[str]] = []
+        if len(self.known.at) > _KEPT:
+            self.known = _Store()
+        if len(self.parts.at) > _KEPT:
+            self.parts = _Store()
+        each, known = [self.words(t) for t in texts], self.known.at
+        if new := list({w for words in each for w in words if w not in known}):
+            self._learn(new)
+        return [self.known.ids(self.known.numbers(words)) for words in each]
+
+    def _learn(self, words: list[str]) -> None:
+        """Cuts new words where no piece spans two neighbouring characters; parts of a length that are new go together."""
+        spans, cuts, counts = self.model.spans, [], []
         for w in words:
-            cut = [w]
-            if len(w) > _LONG:
-                at = [0, *(k + 1 for k in range(len(w) - 1) if w[k : k + 2] not in self.model.spans), len(w)]
-                cut = [w[a:b] for a, b in zip(at, at[1:])]
-            made.append(cut)
-            parts.update(dict.fromkeys(cut))
+            before, begin = len(cuts), 0
+            for k in range(1, len(w)):
+                if w[k - 1 : k + 1] not in spans:
+                    cuts.append(w[begin:k])
+                    begin = k
+            cuts.append(w[begin:])
+            counts.append(len(cuts) - before)
         by: dict[int, list[str]] = {}
-        for p in parts:
+        for p in {p for p in cuts if p not in self.parts.at}:
             by.setdefault(len(p), []).append(p)
-        for length, some in by.items():
+        for length, some in sorted(by.items()):
             if length > _LONG:
-                for p in some:
-                    parts[p] = self._alone(p)
+                found = [self._alone(p) for p in some]
+                self.parts.add(some, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64))
                 continue
             for k in range(0, len(some), 8192):
-                for p, ids in zip(some[k : k + 8192], self.viterbi(some[k : k + 8192])):
-                    parts[p] = ids
-        return [parts[c[0]] if len(c) == 1 else np.concatenate([parts[p] for p in c]) for c in made]
+                self.parts.add(some[k : k + 8192], *self.viterbi(some[k : k + 8192]))
+        k = self.parts.numbers(cuts)
+        begin = np.cumsum(counts) - counts
+        self.known.add(words, self.parts.ids(k), np.add.reduceat(self.parts.size[k], begin))
 
     def _bytes(self, char: str) -> list[int]:
         ids = [int(self.model.byte_ids[b]) for b in char.encode()]
@@ -249,8 +278,8 @@ class Encoder:
             i -= back[i]
         return np.array([k for x in reversed(out) for k in x], dtype=np.int32)
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one after the other, and how many each word has."""
         m, n, length = self.model, len(words), len(words[0])
         code = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(n, length)
         sums = np.zeros((n, length + 1), dtype=np.uint64)
@@ -284,17 +313,22 @@ class Encoder:
                 score = best[bare, i - 1] + low if m.unigram else np.zeros(len(bare))
                 better = score > best[bare, i]
                 best[bare[better], i], last[bare[better], i] = score[better], -1
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(n, length)
+        at, steps = np.full(n, length), []
         while (on := np.flatnonzero(at > 0)).size:
             piece = last[on, at[on]]
-            for row, k, i in zip(on.tolist(), piece.tolist(), at[on].tolist()):
-                if k >= 0:
-                    out[row].append(k)
-                else:
-                    out[row].extend(reversed(self._bytes(words[row][i - 1])))
+            steps.append((on, at[on], piece))
             at[on] -= np.where(piece >= 0, m.lengths[piece], 1)
-        return [np.array(x[::-1], dtype=np.int32) for x in out]
+        row, end, piece = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((end, row))
+        row, end, piece = row[order], end[order], piece[order]
+        bare = np.flatnonzero(piece < 0)
+        if len(bare):
+            raw = [self._bytes(words[r][e - 1]) for r, e in zip(row[bare].tolist(), end[bare].tolist())]
+            times = np.ones(len(piece), dtype=np.int64)
+            times[bare] = [len(x) for x in raw]
+            row, piece = np.repeat(row, times), np.repeat(piece, times)
+            piece[piece < 0] = np.concatenate([np.array(x) for x in raw])
+        return piece.astype(np.int32), np.bincount(row, minlength=n)
 
 
 def decode(model: Model, ids: np.ndarray) -> str:
@@ -305,6 +339,18 @@ def decode(model: Model, ids: np.ndarray) -> str:
     return text[1:] if model.prefix and text[:1] == " " else text
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def shared(model: Model) -> Encoder:
+    """This worker's encoder for the model: what it has learnt serves later tasks too."""
+    key = zlib.crc32(model.keys.tobytes() + model.scores.tobytes())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model)
+    return _ENCODERS[key]
+
+
 def _pieces_of(texts: list[str | None], piece: int = 1 << 21) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -325,7 +371,7 @@ def encode_table(docs: DataFrame, text: str = "text", name: str = "ids", model_p
     schema = T.StructType([*flat.drop("__text").schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = shared(model)
         for batch in batches:
             at = 0
             for texts in _pieces_of(batch.column(0).to_pylist()):
@@ -362,7 +408,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     schema = T.StructType([*narrow.drop("text").schema.fields, *T.StructType.fromDDL("n_pieces long, ids_crc32 long, decoded_crc32 long, exact boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = shared(model)
         for batch in batches:
             rows: list[tuple] = []
             for texts in _pieces_of(batch.column(0).to_pylist()):
