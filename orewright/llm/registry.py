@@ -86,5 +86,34 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 
+def _op9_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licences.TEMPLATES)
+    plain = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+    return rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+unit AS (SELECT r, unnest(list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10))))) AS u FROM doc),
+words AS (SELECT r, row_number() OVER () AS k, string_split({plain.format("u")}, ' ') AS w FROM unit),
+b AS (SELECT r, k, {pairs} AS b FROM words WHERE len(w) > 1),
+t AS (SELECT name, {pairs} AS b FROM (SELECT name, string_split({plain.format("body")}, ' ') AS w FROM (VALUES {rows}) v(name, body))),
+scored AS (SELECT r, k, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) BETWEEN 0.6 * len(t.b) AND 1.6 * len(t.b)),
+hit AS (SELECT DISTINCT ON (k) r, k, name, dice FROM scored WHERE dice >= 0.8 ORDER BY k, dice DESC, name),
+best AS (SELECT DISTINCT ON (r) r, name AS licence, dice FROM hit ORDER BY r, dice DESC, name),
+every AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(DISTINCT name)), ',') AS licences FROM hit GROUP BY r)
+SELECT doc_id, licence, coalesce(round(dice, 6), 0)::DOUBLE AS dice, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences FROM doc LEFT JOIN best USING (r) LEFT JOIN every USING (r)
+"""
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (SELECT r, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS x, b.r AS y FROM fine a, fine b WHERE a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, link.y FROM reach JOIN link ON reach.s = link.x),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r),
+n AS (SELECT x AS r, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN least USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_license_scan": _op9_sql(), "op10_embedding_dedup": OP10_SQL}
