@@ -36,10 +36,21 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes all tables that this application's operators wrote, once their results have been used."""
+    _delete(spark, f"{shared_dir(spark)}/orewright-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor never forces the work before them again.
 
-    ``save`` writes and rereads; ``drop`` removes a table that later steps no longer read.
+    ``save`` writes and rereads; ``drop`` removes a table that later steps no longer read. What a result still depends on
+    stays until ``sweep``.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,9 +69,7 @@ class Scratch:
         for df in tables:
             _, path = self._paths.pop(id(df), (None, None))
             if path:
-                jvm = self.spark.sparkContext._jvm
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                _delete(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
