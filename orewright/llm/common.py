@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _OWN_DIRS: dict[str, str] = {}
@@ -57,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/orewright-{spark.sparkContext.applicationId}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._kept: set[int] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -65,6 +67,16 @@ class Scratch:
         self._paths[id(out)] = (out, path)
         return out
 
+    @contextlib.contextmanager
+    def passing(self) -> Iterator[None]:
+        """Drops at its end what was saved within, but for tables named to ``keep``."""
+        before, self._kept = set(self._paths), set()
+        yield
+        self.drop(*[df for k, (df, _) in list(self._paths.items()) if k not in before and k not in self._kept])
+
+    def keep(self, *tables: DataFrame) -> None:
+        self._kept |= {id(t) for t in tables}
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             _, path = self._paths.pop(id(df), (None, None))
@@ -81,14 +93,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(name) for name, c in columns.items()])
 
 
-def fresh(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` doesn't have yet, close to ``wanted``."""
-    have, name = {c.lower() for c in df.columns}, wanted
-    while name.lower() in have:
-        name = "_" + name
-    return name
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The values of a string column as bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,8 +121,17 @@ def dense_rank_in(df: DataFrame, key: Column, order: list[Column], name: str, ro
     return joined.withColumn(name, F.col(name) + F.col(start)).drop(k, b, start, "__sk", "__sb")
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(function, schema)
+class tidy:  # noqa: N801
+    """An Arrow function that gives freed memory back at the end of each task: workers live on and share their executor's."""
+
+    def __init__(self, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+        self.function = function
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from self.function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Forest:
