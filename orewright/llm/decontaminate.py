@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, pick, utf8
+from .common import Scratch, pick, tidy, utf8
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -249,13 +249,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[s
     one, two = next(blocks, []), next(blocks, None)
     if two is None:
         schema = T.StructType([*wide.drop("__text").schema.fields, *T.StructType.fromDDL(kinds).fields])
-        return wide.mapInArrow(_searcher(Patterns(one, window), False), schema).drop("places")
+        return wide.mapInArrow(tidy(_searcher(Patterns(one, window), False)), schema).drop("places")
     scratch = Scratch(docs.sparkSession)
     base = scratch.save(wide.withColumn("__row", F.monotonically_increasing_id()))
     parts = None
     for block in [one, two, *blocks]:
         narrow = base.select("__text", "__row")
-        part = scratch.save(narrow.mapInArrow(_searcher(Patterns(block, window), True), f"__row long, {kinds}"))
+        part = scratch.save(narrow.mapInArrow(tidy(_searcher(Patterns(block, window), True)), f"__row long, {kinds}"))
         parts = part if parts is None else parts.union(part)
     united = parts.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return base.drop("__text").join(united, "__row").drop("__row")

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _LONG = 64
-_KEPT = 600_000
+_WORDS_KEPT, _PARTS_KEPT = 200_000, 300_000
 _MARKED, _TOLD = 21, 21
 _NONE = -np.inf
 
@@ -221,9 +223,9 @@ class Encoder:
         return _WORDS.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known.at) > _KEPT:
+        if len(self.known.at) > _WORDS_KEPT:
             self.known = _Store()
-        if len(self.parts.at) > _KEPT:
+        if len(self.parts.at) > _PARTS_KEPT:
             self.parts = _Store()
         each, known = [self.words(t) for t in texts], self.known.at
         if new := list({w for words in each for w in words if w not in known}):
@@ -382,7 +384,7 @@ def encode_table(docs: DataFrame, text: str = "text", name: str = "ids", model_p
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=[*batch.schema.names[1:], name])
 
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidy(run), schema)
 
 
 def decode_table(table: DataFrame, ids: str = "ids", name: str = "decoded", model_path: str = MODEL) -> DataFrame:
@@ -397,7 +399,7 @@ def decode_table(table: DataFrame, ids: str = "ids", name: str = "decoded", mode
             texts = [decode(model, np.array(x or [], dtype=np.int64)) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], name])
 
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -418,4 +420,4 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
             n, a, b, same = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.bool_())], names=[f.name for f in schema])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import tidy, utf8
 from .decontaminate import _Powers, words_of
 
 
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["d", "y", "at", "value"])
 
     schema = T.StructType([T.StructField("d", joined.schema["d"].dataType), *T.StructType.fromDDL("y int, at array<int>, value array<float>").fields])
-    rows = joined.mapInArrow(run, schema).groupBy("d").agg(F.first("y").alias("y"), F.min_by(F.struct("at", "value"), F.size("at")).alias("x")).orderBy("d").toArrow()
+    rows = joined.mapInArrow(tidy(run), schema).groupBy("d").agg(F.first("y").alias("y"), F.min_by(F.struct("at", "value"), F.size("at")).alias("x")).orderBy("d").toArrow()
     x = rows.column("x").to_pylist()
     return Model([(np.array(r["at"], dtype=np.int32), np.array(r["value"], dtype=np.float32)) for r in x], np.array(rows.column("y").to_pylist()), plan)
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             found = model.scores(np.stack(x)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*batch.schema.names[1:], name])
 
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
