@@ -1,7 +1,8 @@
 """Connected components over a distributed edge list (large-star / small-star rounds of Spark joins).
 
-Each round is two minimum aggregations (combined before the shuffle) and two joins, so a hub node is never
-gathered into one task: the aggregation ships one row a task for it, and its join rows can be split.
+Each round is two minimum aggregations (combined before the shuffle) and two joins. A hub node is never gathered into one
+task: the aggregation ships one row a task for it, and is written before it is joined, so that the join has nothing but
+exchanges under it and its rows can be split.
 """
 
 from __future__ import annotations
@@ -38,14 +39,16 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield forest(np.concatenate(us), np.concatenate(vs))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("x", "y")
     least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m"))
+    least = scratch.save(least)
     return both.where("y > x").join(least, F.col("x") == F.col("k")).select(F.col("y").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    least = scratch.save(least)
     moved = edges.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
 
@@ -62,7 +65,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if now[0] == 0 or now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select(F.col("v"), F.col("v"))).distinct()
         seen = now
-        nxt = scratch.save(_small_star(_large_star(state).distinct()).distinct())
+        with scratch.passing():
+            large = scratch.save(_large_star(state, scratch).distinct())
+            nxt = scratch.save(_small_star(large, scratch).distinct())
+            scratch.keep(nxt)
         scratch.drop(state)
         state = nxt
     raise RuntimeError(f"components did not settle in {rounds} rounds")

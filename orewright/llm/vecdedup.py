@@ -20,14 +20,14 @@ ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, partitions, pick
+from .common import Forest, Scratch, pick
 from .components import components
 
 
@@ -309,7 +309,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
             counts = found.where("kind = 0").groupBy(F.col("a").alias("gid")).agg(F.sum("b").alias("n"))
             if attempt == 2 or audit(vecs, counts, n, now) >= plan.least_recall:
                 break
-            now = Plan(**{**now.__dict__, "overlap": now.overlap * 2, "beam": now.beam * 2})
+            now = replace(now, overlap=now.overlap * 2, beam=now.beam * 2)
         parts = found if parts is None else parts.union(found)
     if parts is None:
         told = nodes.select("vec", (F.col("mult") - 1).alias("n"), F.col("own").alias("best"))
@@ -317,7 +317,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
         roots = components(parts.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
         counts = parts.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("found"))
         linked = scratch.save(roots.join(nodes.select("gid", "own"), F.col("node") == F.col("gid")).select("node", "root", "own"))
-        best = linked.groupBy("root").agg(F.min("own").alias("best"))
+        best = scratch.save(linked.groupBy("root").agg(F.min("own").alias("best")))  # a root with many rows can then be split
         more = scratch.save(linked.join(best, "root").join(counts, "node", "left").select("node", "best", "found"))
         told = nodes.join(more, F.col("gid") == F.col("node"), "left").select("vec", (F.col("mult") - 1 + F.coalesce("found", F.lit(0))).alias("n"), F.coalesce("best", "own").alias("best"))
     told = scratch.save(told.withColumnRenamed("vec", "key"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import os
 
-from orewright.llm.common import Scratch, fresh, shared_dir, sweep
+from orewright.llm.common import Scratch, shared_dir, sweep
 
 
 def test_scratch_tables_outlive_their_source_and_are_swept(spark):
@@ -17,7 +17,3 @@ def test_scratch_tables_outlive_their_source_and_are_swept(spark):
     assert not os.path.exists(root)
     assert Scratch(spark).save(spark.range(2)).count() == 2
 
-
-def test_fresh_names(spark):
-    df = spark.createDataFrame([(1, 2)], "Score int, _score int")
-    assert fresh(df, "score") == "__score"
