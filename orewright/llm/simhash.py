@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, partitions, pick, utf8
+from .common import Forest, Scratch, partitions, pick, tidy, utf8
 from .components import components
 
 BLOCKS, BITS = 4, 16
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             found = np.array([fingerprint(t, words_each) for t in utf8(batch.column(0))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*batch.schema.names[1:], name])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def cells_of(fp: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = 2, tile_ro
     for c, n in fps.groupBy(cell.alias("cell")).count().collect():  # at most 17 ** 4 rows, whatever the input
         sizes[c] = n
     dealt = fps.select("fp").mapInArrow(_deal(sizes, radius, tile_rows), "key long, guest boolean, fp long")
-    met = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "guest").mapInArrow(_meet(radius), "u long, v long")
+    met = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "guest").mapInArrow(tidy(_meet(radius)), "u long, v long")
     return components(met, scratch).toDF("fp", "root")
 
 
@@ -197,7 +197,7 @@ def _named(table: DataFrame, scratch: Scratch, least, radius: int, name: str) ->
     each = scratch.save(table.groupBy("fp").agg(least.alias("own")))
     roots = link_fingerprints(each, scratch, radius)
     linked = scratch.save(each.join(roots, "fp"))
-    best = linked.groupBy("root").agg(F.min("own").alias("best"))
+    best = scratch.save(linked.groupBy("root").agg(F.min("own").alias("best")))  # a root with many rows can then be split
     told = linked.join(best, "root").select("fp", "best")
     names = scratch.save(each.join(told, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("best", "own").alias(name)))
     return table.join(names, F.col("fp") == F.col("__fp")).drop("__fp")
@@ -215,4 +215,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_
     roots = link_fingerprints(each, scratch, radius)
     best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("r"), F.col("root").isNull().alias("single")).agg(F.min("own").alias("best"))
     kept = scratch.save(best.select(F.col("best.c").alias("row")))
-    return wide.join(kept, "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in columns])
+    # always merged: a broadcast at small sizes would hide that the texts are shuffled once
+    return wide.join(kept.hint("merge"), "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in columns])
