@@ -3,7 +3,9 @@
 Units are the lines and the paragraphs (parts between blank lines) of a text. Normalising lower-cases A-Z and turns all other
 ASCII but digits into spaces. A unit and a template with m and n distinct bigrams share at most min(m, n) of them, so a Dice
 coefficient of t needs t / (2 - t) <= m / n <= (2 - t) / t: templates outside this range are skipped, units outside the
-range of all templates are dropped at once. Everything happens within the row, so there is no shuffle, and no group can be hot.
+range of all templates are dropped at once. A match also holds at least t / (2 - t) of the template's bigrams, so of any
+set of more than the rest it holds one: for each template such a set is chosen, made of the bigrams of its longest words,
+and texts and units without any of those words are passed over unread. Everything happens within the row, so there is no shuffle, and no group can be hot.
 
 Defined cases: null and empty texts have no match (null licence, dice 0, empty list); a unit of fewer than two words has no
 bigrams and no match; of templates with equal coefficients the first by name wins; repeated lines count each time.
@@ -11,6 +13,8 @@ bigrams and no match; of templates with equal coefficients the first by name win
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Words of templates that common prose is full of; they are chosen last.
+_COMMON = frozenset("a and as by in is it may of or the this to under with work you".split())
+_INSIDE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,6 +56,18 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def telling_words(bigrams: list[str], low: float) -> set[str]:
+    """Words, long ones first, one of which is in every unit that holds ``low`` of the bigrams: they touch all the others and
+    one more."""
+    spare = len(bigrams) - math.ceil(len(bigrams) * low - 1e-6)
+    chosen: set[str] = set()
+    for word in sorted({w for b in bigrams for w in b.split(" ")}, key=lambda w: (w in _COMMON, -len(w), w)):
+        if sum(bool(chosen & set(b.split(" "))) for b in bigrams) > spare:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def matches(text: Column, templates: list[tuple[str, str]], least: float) -> Column:
     """An array of (dice, licence) of all units that match a template."""
     ready = [(name, b) for name, t in sorted(templates) if (b := bigrams_of(t))]
@@ -58,9 +77,11 @@ def matches(text: Column, templates: list[tuple[str, str]], least: float) -> Col
     smallest, largest = min(len(b) for _, b in ready) * low, max(len(b) for _, b in ready) * high
     every = F.array(*map(F.lit, sorted({x for _, b in ready for x in b})))
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, b)).alias("b"), F.lit(float(len(b))).alias("n")) for name, b in ready])
-    kept = F.coalesce(text, F.lit(""))
+    some = "|".join(rf"\Q{w}\E" for w in sorted({w for _, b in ready for w in telling_words(b, low)}))
+    telling = rf"(?i)(?:{some})(?!{_INSIDE})(?<!{_INSIDE}(?:{some}))"  # whole words; borders are looked at after a hit
+    kept = F.when(text.rlike(telling), text).otherwise(F.lit(""))
     paragraphs = F.filter(F.split(kept, r"\n[\x20\t\r]*\n"), lambda p: p.contains("\n"))
-    units = F.concat(F.split(kept, "\n"), paragraphs)
+    units = F.filter(F.concat(F.split(kept, "\n"), paragraphs), lambda u: u.rlike(telling))
     plain = F.transform(units, lambda u: F.trim(F.regexp_replace(F.translate(u, _UPPER, _LOWER), _BETWEEN, " ")))
     words = F.filter(F.transform(plain, lambda u: F.split(u, " ")), lambda w: F.size(w) > smallest)
     pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
