@@ -37,10 +37,13 @@ class Plan:
     ease: float = 0.95  # of the room that a round hands out, while it is short
 
 
-def star(rows: DataFrame, key: str) -> DataFrame:
-    """(a, b): the first row of each key of two rows or more, and each other row; null keys have no links."""
+def star(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(a, b): the first row of each key of two rows or more, and each other row; null keys have no links.
+
+    The first rows are written before the join: it then has nothing but exchanges under it, and a hot key can be split.
+    """
     first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("__k"), "a")
-    return rows.join(first, F.col(key) == F.col("__k")).where("row <> a").select("a", F.col("row").alias("b"))
+    return rows.join(scratch.save(first), F.col(key) == F.col("__k")).where("row <> a").select("a", F.col("row").alias("b"))
 
 
 def _choice(values: list[int | float], of: Column) -> Column:
@@ -123,7 +126,7 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     narrow = docs.select(docs[doc_id].alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.md5(docs[text].cast("string").cast("binary")).alias("key"))
     rows = scratch.save(narrow.withColumn("row", F.monotonically_increasing_id()))
-    edges = star(rows.select("row", "key"), "key")
+    edges = star(rows.select("row", "key"), "key", scratch)
     if links is not None:
         ids = rows.where("doc_id is not null").select("row", "doc_id")
         a, b = ids.toDF("a", "src"), ids.toDF("b", "dst")
