@@ -65,3 +65,29 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df.limit(0), str(tmp_path)).dtypes == df.dtypes
     assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def grams(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies_go_and_others_stay(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for k in range(160):
+        own = [word() for _ in range(rng.randrange(60, 400))]
+        rows.append((k, " ".join(own)))
+        copy, share = list(own), (0.02, 0.03, 0.08)[k % 3]
+        for i in rng.sample(range(len(copy)), max(1, int(share * len(copy)))):
+            copy[i] = word()
+        rows.append((1000 + k, " ".join(copy)))
+    like = {k: len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for (k, a), (_, b) in zip(rows[::2], rows[1::2])}
+    assert sum(0.8 <= x < 0.95 for x in like.values()) > 50 and sum(x < 0.8 for x in like.values()) > 50
+    df = spark.createDataFrame([*rows, (None, None), (3000, ""), (3001, " ")], "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and {k for k, _ in rows[::2]} <= set(got) and set(got) & {None, 3000, 3001} == {3000}
+    assert all(1000 + k in got for k, x in like.items() if x < 0.8)
+    near = [k for k, x in like.items() if x >= 0.8]
+    assert sum(1000 + k not in got for k in near) >= 0.97 * len(near)
