@@ -2,7 +2,7 @@
 
 Linked documents (by default those with equal texts; a link table can be added) start in shards by hash. In each round a
 document looks at its neighbours' shards (two joins and combined counts) and moves to the one that holds most of them, if
-that is more than its own holds, it is the document's turn (half of them, by hash, so that two neighbours don't swap for
+that is more than its own holds, it is the document's turn (half of them, by a hash of row and round, so that two neighbours don't swap for
 ever) and the quotas allow it: between two shards as many may swap as wish to in both directions, and beyond that each shard
 takes linked documents while it has less than its quota, N / k; where more want in than fit, a hash lets through the share
 that does. Every other pair of rounds looks only at shards with room, so that a group isn't held back by a full one. A group is linked as a star around its first row, so it has as many links as rows;
@@ -32,7 +32,7 @@ from .common import Scratch, dense_rank_in
 @dataclass(frozen=True)
 class Plan:
     shards: int = 8
-    rounds: int = 8
+    rounds: int = 24  # at most; fewer when nothing is left to move
     fill: float = 0.98  # of a quota, for linked rows; the rest evens out what the hash lets through too much
     ease: float = 0.95  # of the room that a round hands out, while it is short
 
@@ -55,6 +55,7 @@ def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan =
     k = len(quota)
     both = scratch.save(links.where("a <> b").union(links.where("a <> b").select("b", "a")).distinct().toDF("row", "near"))
     state = scratch.save(both.select("row").distinct().withColumn("shard", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(k)).cast("int")))
+    still = 0
     for turn in range(plan.rounds):
         held = [0] * k
         for s, n in state.groupBy("shard").count().collect():
@@ -64,14 +65,14 @@ def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan =
         fits = F.lit(turn % 4 < 2) | (F.col("to") == F.col("shard")) | (_choice(room, F.col("to")) > 0)
         own = seen.join(state.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).withColumn("open", fits)
         best = own.groupBy("row", "shard").agg(F.max(F.when(F.col("open"), F.struct("n", F.pmod(F.col("to") + F.lit(turn), F.lit(k)).alias("tie"), "to"))).alias("top"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"))
-        its_turn = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(2)) == turn % 2
-        wish = scratch.save(best.select("row", "shard", F.when((F.col("top.n") > F.col("here")) & its_turn, F.col("top.to")).alias("to")))
+        its_turn = F.pmod(F.xxhash64("row", F.lit(5 + 1000 * turn)), F.lit(2)) == 0
+        wish = scratch.save(best.select("row", "shard", F.when(F.col("top.n") > F.col("here"), F.col("top.to")).alias("want")).withColumn("to", F.when(its_turn, F.col("want"))))
         asked = [[0] * k for _ in range(k)]
         for i, j, n in wish.where("to is not null").groupBy("shard", "to").count().collect():
             asked[i][j] = n
-        if not any(map(any, asked)) and turn % 4 > 1:
+        if turn % 4 < 2 and not any(map(any, asked)) and wish.where("want is not null").isEmpty():
             scratch.drop(wish)
-            break
+            break  # no wish is left, whoever's turn it is
         share = []
         for i in range(k):
             for j in range(k):
@@ -79,6 +80,10 @@ def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan =
                 left = sum(asked[x][j] - min(asked[x][j], asked[j][x]) for x in range(k))
                 rest = (asked[i][j] - swaps) * min(1.0, plan.ease * room[j] / left if left > room[j] else 1.0)
                 share.append((swaps + rest) / asked[i][j] if asked[i][j] else 0.0)
+        still = 0 if any(map(any, asked)) and any(share) else still + 1
+        if still == 8:
+            scratch.drop(wish)
+            break  # the wishes that are left don't fit the quotas
         lucky = F.pmod(F.xxhash64("row", F.lit(100 + turn)), F.lit(1 << 20)) < _choice(share, F.col("shard") * k + F.col("to")) * float(1 << 20)
         moved = scratch.save(wish.select("row", F.when(F.col("to").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         scratch.drop(state, wish)

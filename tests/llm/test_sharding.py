@@ -74,3 +74,11 @@ def test_dense_rank_over_many_buckets(spark):
     got = dense_rank_in(df, F.col("k"), [F.col("id")], "n", rows_per_bucket=50).collect()
     for k in range(3):
         assert sorted(r.n for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
+
+
+def test_every_pair_that_fits_stays_whole(spark):
+    rows = [(k, f"pair {k // 2}" if k < 240 else f"single {k}") for k in range(2400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check(rows, got)
+    where = {r.doc_id: r.shard for r in got}
+    assert sum(where[k] != where[k + 1] for k in range(0, 240, 2)) == 0
