@@ -121,13 +121,32 @@ def dense_rank_in(df: DataFrame, key: Column, order: list[Column], name: str, ro
     return joined.withColumn(name, F.col(name) + F.col(start)).drop(k, b, start, "__sk", "__sb")
 
 
+_settled = False
+
+
+def _settle_memory() -> None:
+    """Makes this worker return large arrays to the system as soon as they are freed, those of Arrow too.
+
+    Workers live on and share the memory of their executor, so what one task has freed must not stay with its worker.
+    """
+    global _settled
+    if not _settled:
+        _settled = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 19)  # arrays from 512 KB on are mapped by themselves
+            libc.mallopt(-1, 1 << 20)  # and the heap's end is given back from 1 MB on
+
+
 class tidy:  # noqa: N801
-    """An Arrow function that gives freed memory back at the end of each task: workers live on and share their executor's."""
+    """An Arrow function that gives freed memory back, at the end of each task at the latest."""
 
     def __init__(self, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
         self.function = function
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle_memory()
         yield from self.function(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
