@@ -20,10 +20,12 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master whose session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="orewright-")
@@ -47,6 +49,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_MADE: list[str] = []
+
+
+def tables_made() -> int:
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, first: int, *keep: DataFrame) -> None:
+    """Removes the tables written after ``tables_made`` gave ``first``, but for those that ``keep`` reads."""
+    kept = {f.rsplit("/", 1)[0].split("orewright-", 1)[-1] for df in keep for f in df.inputFiles()}
+    for path in _MADE[first:]:
+        if path.split("orewright-", 1)[-1] not in kept:
+            _delete(spark, path)
+    _MADE[first:] = [p for p in _MADE[first:] if p.split("orewright-", 1)[-1] in kept]
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor never forces the work before them again.
 
@@ -63,6 +81,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        _MADE.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
@@ -121,6 +140,14 @@ def dense_rank_in(df: DataFrame, key: Column, order: list[Column], name: str, ro
     return joined.withColumn(name, F.col(name) + F.col(start)).drop(k, b, start, "__sk", "__sb")
 
 
+def slices(batches: Iterable[pa.RecordBatch], size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into parts of about ``size`` bytes (of one row at least), so that what is made of a part is bounded."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _settled = False
 
 
@@ -147,7 +174,7 @@ class tidy:  # noqa: N801
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _settle_memory()
-        yield from self.function(batches)
+        yield from self.function(slices(batches))
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)

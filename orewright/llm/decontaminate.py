@@ -12,7 +12,7 @@ searched in one pass each over the documents and their hits united, so its size
 
 Defined cases: a null or wordless text has no words and no hits; a null, empty or wordless item has no windows; an item
 with a null id marks words but isn't counted or listed; repeated item ids count once; repeated documents are each
-reported. Other columns are ignored by ``contamination`` and kept by ``clean``.
+reported; a long text is searched whole, in memory of about twenty times its bytes. Other columns are ignored by ``contamination`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .common import Scratch, pick, tidy, utf8
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_PIECE = 1 << 22
+_PIECE, _BLOCK = 1 << 20, 1 << 17
 _LANE = 192
 _TABLE = 1 << 18
 
@@ -60,10 +60,16 @@ def words_of(raw: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.nd
     mask[1:-1] = _WORD[data]
     edge = np.diff(mask)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers.to(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
+    h, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):  # as many words as lie in a block, one at least
+        begin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + _BLOCK, side="right")))
+        part = data[begin : ends[to - 1]]
+        up, down = powers.to(len(part))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        h[at:to] = (sums[ends[at:to] - begin] - sums[starts[at:to] - begin]) * down[starts[at:to] - begin]
+        at = to
     return starts, ends, h ^ (h >> np.uint64(32))
 
 

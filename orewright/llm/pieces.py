@@ -14,7 +14,8 @@ Words are first cut where no piece can span two neighbouring characters, such as
 have over ``_LONG`` characters are merged (or searched) one by one, with the same result. Characters without a piece become byte pieces.
 
 The tables are as large as the vocabulary, whatever the data. Defined cases: null and empty texts have no pieces and decode
-to the empty text; a text is given back exactly unless it holds U+2581, which the format itself reads as a space.
+to the empty text; a text is given back exactly unless it holds U+2581, which the format itself reads as a space; repeated rows
+are each encoded; an empty table gives an empty table; a column with the result's name is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_LONG = 64
-_WORDS_KEPT, _PARTS_KEPT = 200_000, 300_000
-_MARKED, _TOLD = 21, 21
+_LONG, _CELLS = 512, 1 << 19
+_WORDS_KEPT, _PARTS_KEPT = 120_000, 120_000
+_MARKED, _TOLD = 21, 20
 _NONE = -np.inf
 
 
@@ -72,7 +73,6 @@ class Model:
         self.keys, self.key_ids = keys[order], ids[order]
         self.marked = np.zeros(1 << _MARKED, dtype=bool)
         self.marked[self.keys >> np.uint64(64 - _MARKED)] = True
-        self.told_pairs, self.told = np.full(1 << _TOLD, -1, dtype=np.int64), np.zeros(1 << _TOLD, dtype=bool)
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.longest = int(self.lengths[ids].max(initial=1))
         self.spans = {t[k : k + 2] for t in self.by_text for k in range(len(t) - 1)}
@@ -84,6 +84,10 @@ class Model:
         sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
         self.raw_start, self.raw_size = np.cumsum(sizes) - sizes, sizes
         self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.key = zlib.crc32(self.keys.tobytes() + self.scores.tobytes())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("told_pairs", "told")}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -163,6 +167,8 @@ class Model:
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """As ``replayed``; remembers answers in a table of fixed size."""
+        if "told" not in self.__dict__:
+            self.told_pairs, self.told = np.full(1 << _TOLD, -1, dtype=np.int64), np.zeros(1 << _TOLD, dtype=bool)
         pair = a * len(self.texts) + b
         slot = (pair.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - _TOLD)).astype(np.int64)
         new = np.flatnonzero(self.told_pairs[slot] != pair)
@@ -193,22 +199,32 @@ class Model:
 
 
 class _Store:
-    """Strings and their ids, in flat arrays."""
+    """Strings and their ids, in flat arrays that double when they are full."""
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat, self.start, self.size = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int32)
+        self.used = 0
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        old = getattr(self, name)
+        if len(old) < n:
+            setattr(self, name, np.concatenate([old, np.zeros(max(n, 2 * len(old)) - len(old), dtype=old.dtype)]))
+        return getattr(self, name)
 
     def add(self, names: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes])
+        n, more = len(self.at), len(names)
+        self.at.update(zip(names, range(n, n + more)))
+        self._room("start", n + more)[n : n + more] = self.used + np.cumsum(sizes) - sizes
+        self._room("size", n + more)[n : n + more] = sizes
+        self._room("flat", self.used + len(flat))[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def numbers(self, names: list[str]) -> np.ndarray:
         return np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))
 
     def ids(self, k: np.ndarray) -> np.ndarray:
-        size = self.size[k]
+        size = self.size[k].astype(np.int64)
         return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[k] - (np.cumsum(size) - size), size)]
 
 
@@ -251,8 +267,9 @@ class Encoder:
                 found = [self._alone(p) for p in some]
                 self.parts.add(some, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64))
                 continue
-            for k in range(0, len(some), 8192):
-                self.parts.add(some[k : k + 8192], *self.viterbi(some[k : k + 8192]))
+            n = max(1, min(8192, _CELLS // length))
+            for k in range(0, len(some), n):
+                self.parts.add(some[k : k + n], *self.viterbi(some[k : k + n]))
         k = self.parts.numbers(cuts)
         begin = np.cumsum(counts) - counts
         self.known.add(words, self.parts.ids(k), np.add.reduceat(self.parts.size[k], begin))
@@ -344,16 +361,15 @@ def decode(model: Model, ids: np.ndarray) -> str:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def shared(model: Model) -> Encoder:
-    """This worker's encoder for the model: what it has learnt serves later tasks too."""
-    key = zlib.crc32(model.keys.tobytes() + model.scores.tobytes())
+def shared(key: int, sent) -> Encoder:
+    """This worker's encoder for the broadcast model: there is one model, and what it has learnt serves later tasks too."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model)
+        _ENCODERS[key] = Encoder(sent.value)
     return _ENCODERS[key]
 
 
-def _pieces_of(texts: list[str | None], piece: int = 1 << 21) -> Iterator[list[str]]:
+def _pieces_of(texts: list[str | None], piece: int = 1 << 19) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t or "")
@@ -368,12 +384,13 @@ def _pieces_of(texts: list[str | None], piece: int = 1 << 21) -> Iterator[list[s
 def encode_table(docs: DataFrame, text: str = "text", name: str = "ids", model_path: str = MODEL) -> DataFrame:
     """All columns of ``docs`` and the ids (array<int>) of every row's text. An older column of that name is replaced."""
     model = Model.load(model_path)
+    key, sent = model.key, docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
     keep = [c for c in docs.columns if c != name]
     flat = docs.select(docs[text].cast("string").alias("__text"), *[docs[c] for c in keep])
     schema = T.StructType([*flat.drop("__text").schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(model)
+        encoder = shared(key, sent)
         for batch in batches:
             at = 0
             for texts in _pieces_of(batch.column(0).to_pylist()):
@@ -389,12 +406,13 @@ def encode_table(docs: DataFrame, text: str = "text", name: str = "ids", model_p
 
 def decode_table(table: DataFrame, ids: str = "ids", name: str = "decoded", model_path: str = MODEL) -> DataFrame:
     """All columns of ``table`` and the text of the ids (null and empty ids: the empty text)."""
-    model = Model.load(model_path)
+    sent = table.sparkSession.sparkContext.broadcast(Model.load(model_path))
     keep = [c for c in table.columns if c != name]
     flat = table.select(table[ids].alias("__ids"), *[table[c] for c in keep])
     schema = T.StructType([*flat.drop("__ids").schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             texts = [decode(model, np.array(x or [], dtype=np.int64)) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], name])
@@ -406,16 +424,17 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian int32), decoded_crc32 (of the UTF-8) and exact, by encoding
     and decoding every whole text."""
     model = Model.load(model_path)
+    key, sent = model.key, docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(docs[text].cast("string").alias("text"), docs[doc_id].alias("doc_id"))
     schema = T.StructType([*narrow.drop("text").schema.fields, *T.StructType.fromDDL("n_pieces long, ids_crc32 long, decoded_crc32 long, exact boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(model)
+        encoder = shared(key, sent)
         for batch in batches:
             rows: list[tuple] = []
             for texts in _pieces_of(batch.column(0).to_pylist()):
                 for t, ids in zip(texts, encoder.encode(texts)):
-                    back = decode(model, ids)
+                    back = decode(encoder.model, ids)
                     rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), zlib.crc32(back.encode()), back == t))
             n, a, b, same = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.bool_())], names=[f.name for f in schema])

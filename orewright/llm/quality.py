@@ -9,7 +9,8 @@ with the ``sharpness`` power of their similarity.
 Only the labelled sample is bounded. Frequencies come from it as well: they are part of the fitted model.
 
 Defined cases: without labelled rows every score is 1; a null, empty or featureless text gets the sample's share of label 1;
-repeated labels of one id count once (the lower); labels that are null are no labels; repeated rows each get their score.
+repeated labels of one id count once (the lower); labels that are null are no labels; repeated rows each get their score;
+of neighbours with equal similarity those with lower ids vote.
 """
 
 from __future__ import annotations
@@ -47,24 +48,25 @@ _KINDS = 6 + len(_MARKS)
 _PAIRS, _TRIPLES, _WORDS, _REPEATS = _KINDS**2, 4096, 2048, 4
 FEATURES = _PAIRS + _TRIPLES + _WORDS + _REPEATS
 _POWERS = _Powers(0x5851F42D4C957F2F)
+_PIECE = 1 << 20
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and square-rooted counts of a text, by pieces, so that a long text takes bounded memory."""
+    """Feature numbers and square-rooted counts of a whole text; n-grams across the edges of pieces count like any others."""
     total = np.zeros(FEATURES, dtype=np.int64)
-    text = text or b""
-    for at in range(0, len(text), 1 << 22):
-        piece = text[at : at + (1 << 22)]
-        data = np.frombuffer(piece, dtype=np.uint8)
-        c = _CLASS[data[(data < 0x80) | (data >= 0xC0)]]
+    text, last = text or b"", np.zeros(0, dtype=np.int64)
+    for at in range(0, len(text), _PIECE):
+        data = np.frombuffer(text, dtype=np.uint8, count=min(_PIECE, len(text) - at), offset=at)
+        c = np.concatenate([last, _CLASS[data[(data < 0x80) | (data >= 0xC0)]]])
         pair = c[:-1] * _KINDS + c[1:]
         triple = ((pair[:-1] * _KINDS + c[2:]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-        total[:_PAIRS] += np.bincount(pair, minlength=_PAIRS)
+        total[:_PAIRS] += np.bincount(pair[max(0, len(last) - 1) :], minlength=_PAIRS)
         total[_PAIRS : _PAIRS + _TRIPLES] += np.bincount(triple, minlength=_TRIPLES)
-        h = words_of(piece.lower(), _POWERS)[2]
-        total[_PAIRS + _TRIPLES : -_REPEATS] += np.bincount((h * np.uint64(0x9FB21C651E98DF25) >> np.uint64(53)).astype(np.int64), minlength=_WORDS)
-        same = (h[1:] == h[:-1]).astype(np.int64)
-        total[-_REPEATS:] += np.bincount(2 * same[:-1] + same[1:], minlength=_REPEATS)
+        last = c[-2:]
+    h = words_of(text.lower(), _POWERS)[2]
+    total[_PAIRS + _TRIPLES : -_REPEATS] += np.bincount((h * np.uint64(0x9FB21C651E98DF25) >> np.uint64(53)).astype(np.int64), minlength=_WORDS)
+    same = (h[1:] == h[:-1]).astype(np.int64)
+    total[-_REPEATS:] += np.bincount(2 * same[:-1] + same[1:], minlength=_REPEATS)
     some = np.flatnonzero(total)
     return some.astype(np.int32), np.sqrt(total[some]).astype(np.float32)
 
@@ -109,6 +111,9 @@ class Model:
         for a in range(0, len(x), 512):
             sims = self._unit(x[a : a + 512]) @ self.vectors.T
             top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            edge = np.take_along_axis(sims, top, axis=1).min(axis=1, keepdims=True)
+            if (tied := np.flatnonzero((sims >= edge).sum(axis=1) > k)).size:  # of equal neighbours the first in the sample vote
+                top[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
             weight = np.maximum(np.take_along_axis(sims, top, axis=1).astype(np.float64), 0) ** self.plan.sharpness
             total = weight.sum(axis=1)
             out[a : a + 512] = np.where(total > 1e-9, (weight * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-9), self.share)
