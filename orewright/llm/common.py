@@ -162,8 +162,8 @@ def _settle_memory() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
         with contextlib.suppress(OSError, AttributeError):
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 1 << 19)  # arrays from 512 KB on are mapped by themselves
-            libc.mallopt(-1, 1 << 20)  # and the heap's end is given back from 1 MB on
+            libc.mallopt(-3, 4 << 20)  # arrays from 4 MB on are mapped by themselves, and stay so
+            libc.mallopt(-1, 32 << 20)  # the heap's end is given back from 32 MB on
 
 
 class tidy:  # noqa: N801

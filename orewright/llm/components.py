@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch
+from .common import Forest, Scratch, tidy
 
 _BLOCK = 1 << 20
 
@@ -53,16 +53,30 @@ def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return moved.union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a bounded edge list in one task."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        forest = Forest(np.arange(len(nodes)))
+        forest.link(at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.labels])], names=["node", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, block: int = _BLOCK) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: not-null longs); root is the smallest node reachable.
 
-    An empty edge list gives an empty table. Repeated edges and self-loops change nothing.
+    An empty edge list gives an empty table. Repeated edges and self-loops change nothing. Once a spanning forest of each
+    task's edges leaves no more than ``_BLOCK`` (16 MB), one task unites them; rounds of joins go on until then.
     """
     state = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_thin, "u long, v long"))
     seen: tuple | None = None
     for _ in range(rounds):
         now = tuple(state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now[0] == 0 or now == seen:
+        if now[0] <= block:
+            return state.coalesce(1).mapInArrow(tidy(_rooted), "node long, root long")
+        if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select(F.col("v"), F.col("v"))).distinct()
         seen = now
         with scratch.passing():

@@ -50,14 +50,14 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-def words_of(raw: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of lower-cased bytes."""
+def words_of(raw: bytes, powers: _Powers, of: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of lower-cased bytes; ``of`` tells the bytes that words are made of."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0, dtype=np.uint64)
     mask = np.zeros(len(data) + 2, dtype=np.int8)
-    mask[1:-1] = _WORD[data]
+    mask[1:-1] = of[data]
     edge = np.diff(mask)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     h, at = np.empty(len(starts), dtype=np.uint64), 0
