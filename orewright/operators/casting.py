@@ -23,6 +23,11 @@ def minified_json(value: Column) -> Column:
     return F.to_json(F.parse_json(value))
 
 
+def is_json(value: Column) -> Column:
+    """Whether text is JSON; null stays null."""
+    return F.when(value.isNotNull(), F.try_parse_json(value).isNotNull())
+
+
 def strict(value: Column, kind: str, name: str) -> Column:
     """``value`` (text) as ``kind``: text, json, boolean, date, timestamp, a whole number or decimal(p,s)."""
     if kind == "text":

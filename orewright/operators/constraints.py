@@ -63,14 +63,32 @@ def duplicates(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return full.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def validate(new: DataFrame, whole: DataFrame | None = None, required: Iterable[str] = (), checks: Iterable[Check] = (), unique: Iterable[Unique] = ()) -> None:
-    """Raises ConstraintError unless ``new`` satisfies the row rules and ``whole`` (new and surviving rows) the keys."""
+def repeated(df: DataFrame, unique: Unique) -> str | None:
+    """What to say of keys that occur more than once, from one pass; None if there are none."""
+    found = duplicates(df, unique.columns)
+    n, worst = found.agg(F.count(F.lit(1)), F.max(F.struct("n", *unique.columns))).first()
+    return f"unique ({', '.join(unique.columns)}): {n} keys, such as {tuple(worst[1:])} with {worst[0]} rows" if n else None
+
+
+def clashes(new: DataFrame, others: DataFrame, unique: Unique) -> str | None:
+    """What to say of keys of ``new`` that ``others`` hold already. Only the key columns of ``others`` are read, and only row
+    groups whose range of the first key column meets that of ``new``."""
+    first = unique.columns[0]
+    low, high = new.agg(F.min(first), F.max(first)).first()
+    if low is None:
+        return None
+    there = others.where(F.col(first).between(F.lit(low), F.lit(high))).select(*unique.columns)
+    found = there.join(new.select(*unique.columns).distinct(), list(unique.columns), "left_semi")
+    n, one = found.agg(F.count(F.lit(1)), F.max(F.struct(*unique.columns))).first()
+    return f"unique ({', '.join(unique.columns)}): {n} rows of other files have the same keys, such as {tuple(one)}" if n else None
+
+
+def validate(new: DataFrame, others: DataFrame | None = None, required: Iterable[str] = (), checks: Iterable[Check] = (), unique: Iterable[Unique] = ()) -> None:
+    """Raises ConstraintError unless ``new`` satisfies the row rules, and its keys are unique among themselves and ``others``,
+    which are known to satisfy them."""
     broken = [f"{r.rule}: {r.n} rows" for r in violations(new, required, checks).where("n > 0").collect()]
     for u in unique:
-        found = duplicates(new if whole is None else whole, u.columns)
-        worst = found.orderBy(F.desc("n"), *u.columns).limit(1).collect()
-        if worst:
-            broken.append(f"unique ({', '.join(u.columns)}): {found.count()} keys, such as {tuple(worst[0][:-1])} with {worst[0].n} rows")
+        broken += [x for x in (repeated(new, u), clashes(new, others, u) if others is not None else None) if x]
     if broken:
         raise ConstraintError("; ".join(broken))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Container, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,31 @@ from ..sources.spec import Source
 
 @dataclass(frozen=True)
 class Loaded:
+    """What a load has put into a table."""
+
     table: str
     rows: int
     source: str
 
-    def __str__(self) -> str:
-        return f"  {self.table:<32} {self.rows:>10,} rows  <- {self.source}"
+
+class UnknownSources(ValueError):
+    def __init__(self, names: list[str], known: Iterable[str]):
+        super().__init__(f"no such source: {', '.join(names)} (there are {', '.join(known)})")
+        self.names = names
+
+
+def strangers(asked: Iterable[str], known: Container[str]) -> list[str]:
+    """Those of ``asked`` that aren't ``known``, in their order."""
+    return [name for name in asked if name not in known]
 
 
-def chosen(selected: list[str] | None, sources: dict[str, Source] = SOURCES) -> list[str]:
-    """The selected names in their order, all of them if none is; unknown names are an error that lists them."""
-    names = list(selected or sources)
-    unknown = [n for n in names if n not in sources]
-    if unknown:
-        raise ValueError(f"Unknown source: {', '.join(unknown)}. Known: {', '.join(sources)}")
-    return names
+def chosen(selected: Sequence[str] | None, sources: Mapping[str, Source] = SOURCES) -> list[str]:
+    """The names to load: all sources where nothing is selected, else the selection as it stands if every name is known."""
+    if not selected:
+        return [*sources]
+    if odd := strangers(selected, sources):
+        raise UnknownSources(odd, sources)
+    return [*selected]
 
 
 def prepared(spark: SparkSession, source: Source, data: str, loaded_at: datetime.datetime) -> DataFrame:

@@ -26,9 +26,10 @@ def main(args: list[str] | None = None) -> int:
     load_env()
     store = Store(session(), a.warehouse)
     for name in bronze.chosen(a.names):
-        print(bronze.load(store, bronze.SOURCES[name], a.data))
+        done = bronze.load(store, bronze.SOURCES[name], a.data)
+        print(f"{done.table}: {done.rows} rows from {done.source}")
     if a.silver:
-        print(f"  silver.school {silver.build_schools(store):,} rows")
+        print(f"silver.school: {silver.build_schools(store)} rows")
     return 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +29,19 @@ _CSV = {"quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8", "mo
 _BAD = "�"
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
+def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
     """The names in the first record, as they stand there."""
-    first = spark.read.options(**_CSV, header=False).csv(path).limit(1).collect()
+    first = spark.read.options(**_CSV | {"multiLine": multi_line}, header=False).csv(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path}: no header")
     names = [v or "" for v in first[0]]
-    return [names[0].removeprefix("﻿"), *names[1:]]
+    return [names[0].removeprefix("\ufeff"), *names[1:]]
+
+
+def _fields(record: Column) -> Column:
+    """How many fields a raw record has: its commas outside quoted fields, and one."""
+    bare = F.regexp_replace(F.replace(record, F.lit('""'), F.lit("")), '(^|,)"[^"]*"', "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
 @register("csv_lines")
@@ -47,45 +53,76 @@ def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
 @register("csv")
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """UTF-8 CSV with a header. Empty fields are null, all other text stays (``NA`` too); short rows are filled with null;
-    lines of white space aren't rows; a row with more fields than the header, and bytes that aren't UTF-8, are errors.
+    lines of white space aren't rows; a row with more fields than the header (empty ones too), and bytes that aren't UTF-8,
+    are errors.
 
     Names are those of the header. A file that may hold quoted line ends can't be split, so it is one task; ``csv_lines``
     is for large files without them.
     """
-    names = csv_header(spark, path)
+    names = csv_header(spark, path, multi_line)
     inner = [f"c{k}" for k in range(len(names))]
-    schema = ", ".join(f"{c} string" for c in [*inner, "_overflow"])
-    raw = spark.read.schema(schema).options(**_CSV | {"multiLine": multi_line}, header=True, enforceSchema=True).csv(path)
+    schema = ", ".join(f"{c} string" for c in [*inner, "_odd"])  # the raw text of records that are shorter or longer than the header
+    raw = spark.read.schema(schema).options(**_CSV | {"multiLine": multi_line, "columnNameOfCorruptRecord": "_odd"}, header=True, enforceSchema=True).csv(path)
     blank = F.coalesce(F.trim(F.regexp_replace("c0", r"[\s﻿]+", " ")), F.lit("")) == ""
     for c in inner[1:]:
         blank = blank & F.col(c).isNull()
     odd = F.concat_ws("", *inner).contains(_BAD)
     fits = (
-        F.when(F.col("_overflow").isNotNull(), F.raise_error(F.lit(f"{path}: a row has more fields than the header")).cast("boolean"))
+        F.when(F.col("_odd").isNotNull() & (_fields(F.col("_odd")) > len(inner)), F.raise_error(F.lit(f"{path}: a row has more fields than the header")).cast("boolean"))
         .when(odd, F.raise_error(F.lit(f"{path}: bytes that are not UTF-8")).cast("boolean"))
         .otherwise(True)
     )
     only_one = F.lit(True) if len(inner) > 1 else F.col("c0").isNotNull()
-    return raw.where(~blank & only_one).where(fits).drop("_overflow").toDF(*names)
+    return raw.where(~blank & only_one).where(fits).drop("_odd").toDF(*names)
+
+
+_FEATURE = "properties map<string,string>, geometry string"
+
+
+def bare_json(text: Column) -> Column:
+    """JSON text without white space outside strings; the order of keys and the spelling of numbers stay."""
+    return F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s+', "$1")
+
+
+def _flat(each: DataFrame) -> DataFrame:
+    """Features (at, p, g) as one column for each property name, in the order of first sight, and the geometry."""
+    seen = each.select("at", F.posexplode(F.map_keys("p")).alias("k", "name")).groupBy("name").agg(F.min(F.struct("at", "k")).alias("first"))
+    names = [r.name for r in seen.orderBy("first", "name").collect()]  # as many as there are names
+    own = [n for n in names if n not in ("geometry_type", "geometry")]
+
+    def value(n: str) -> Column:
+        v = F.col("p")[n]
+        nested = v.rlike(r"\A\s*[\[{]") & F.try_parse_json(v).isNotNull()
+        return F.nullif(F.when(nested, bare_json(v)).otherwise(v), F.lit("")).alias(n)
+
+    shape = bare_json(F.col("g"))
+    shape = F.when(~shape.isin("{}", "null"), shape)
+    return each.select(*map(value, own), F.get_json_object("g", "$.type").alias("geometry_type"), shape.alias("geometry"))
+
+
+def _properties(column: str) -> Column:
+    return F.coalesce(column, F.create_map().cast("map<string,string>"))
 
 
 @register("geojson")
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row for each feature of a collection: its properties as text, and its geometry.
 
-    Columns are the union of all property names in the order of first sight in the sorted list, then ``geometry_type`` and
-    ``geometry`` (JSON without spaces; null where there is none). Numbers keep their spelling, lists and objects are JSON.
-    A document without ``features`` has no rows; null features and text that isn't JSON are errors.
+    Columns are the union of all property names in the order of first sight, then ``geometry_type`` and ``geometry`` (JSON
+    without white space between tokens, else as it stands; null where there is none). Numbers keep their spelling, lists and
+    objects are such JSON. A document without ``features`` has no rows; null features and text that isn't JSON are errors.
+    A document is one task; ``geojson_lines`` is for large data.
     """
-    schema = "features array<struct<properties:map<string,string>,geometry:string>>"
-    whole = spark.read.schema(schema).options(multiLine=True, mode="FAILFAST").json(path)
+    whole = spark.read.schema(f"features array<struct<{_FEATURE.replace(' map', ':map').replace(' string', ':string')}>>").options(multiLine=True, mode="FAILFAST").json(path)
     if whole.where("features is null").limit(1).count():
         told = spark.read.text(path, wholetext=True).where(F.array_contains(F.json_object_keys("value"), "features"))
         if told.limit(1).count():
             raise ValueError(f"{path}: features is null")
-    each = whole.select(F.explode("features").alias("f")).select(F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("p"), F.col("f.geometry").alias("g"))
-    names = [r[0] for r in each.select(F.explode(F.map_keys("p"))).distinct().sort("col").collect()]  # as many as there are names
-    own = [n for n in names if n not in ("geometry_type", "geometry")]
-    shape = F.when(F.col("g").isNotNull() & ~F.regexp_replace("g", r"\s", "").isin("{}", "null"), F.to_json(F.parse_json("g")))
-    columns = [F.nullif(F.col("p")[n], F.lit("")).alias(n) for n in own]
-    return each.select(*columns, F.get_json_object("g", "$.type").alias("geometry_type"), shape.alias("geometry"))
+    return _flat(whole.select(F.posexplode("features").alias("at", "f")).select("at", _properties("f.properties").alias("p"), F.col("f.geometry").alias("g")))
+
+
+@register("geojson_lines")
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``geojson`` for files with one feature a line, which are split among tasks; blank lines aren't rows."""
+    lines = spark.read.schema(f"type string, {_FEATURE}").options(mode="FAILFAST").json(path)
+    return _flat(lines.select(F.monotonically_increasing_id().alias("at"), _properties("properties").alias("p"), F.col("geometry").alias("g")))

@@ -197,7 +197,7 @@ def test_commands(place, capsys):
     put(data, "rent_data", "rent_id\n1\n")
     args = ["--data", str(data), "--warehouse", store.root, "rent_data"]
     assert run.main(args) == 0 and check.main(args) == 0
-    assert "1 rows  <- raw/rent_data" in capsys.readouterr().out
+    assert "1 rows from raw/rent_data" in capsys.readouterr().out
     assert check.main(args[:-1] + ["bus_stops"]) == 1
 
 
@@ -212,3 +212,58 @@ def test_stops_near_schools(spark):
 
 def test_schools_table_is_what_silver_reads():
     assert {"school_code", *silver.VALUES} <= set(SCHOOLS.names)
+
+
+def test_snapshots_stay_and_old_parts_go(place):
+    store, data = place
+    put(data, "rent_data", "rent_id\n1\n")
+    bronze.run(store, str(data), ["rent_data"])
+    before = store.read(RENTS)
+    for k in range(2, 8):
+        put(data, "rent_data", f"rent_id\n{k}\n")
+        bronze.run(store, str(data), ["rent_data"])
+        if k == 3:
+            assert [r.rent_id for r in before.collect()] == [1]  # a query that began before two loads still has its rows
+    assert rents(store) == [(7, None)]
+    assert len(store.versions(RENTS)) == 3 and len(store.files.names(f"{store.root}/bronze/rent_data/parts")) == 3
+
+
+def test_of_two_writers_none_is_lost(place):
+    store, data = place
+    (data / "raw").mkdir(parents=True)
+    sources = {n: Source(n, RENTS, f"raw/{n}.csv", "csv") for n in "abc"}
+    for n, ids in (("a", "1"), ("b", "2"), ("c", "2")):
+        (data / f"raw/{n}.csv").write_text(f"rent_id\n{ids}\n")
+    bronze.run(store, str(data), ["a"], sources)
+    plain, late = store._commit, []
+
+    def overtaken(table, m):
+        if not late:
+            late.append(1)
+            bronze.run(Store(store.spark, store.root), str(data), ["b"], sources)
+        return plain(table, m)
+
+    store._commit = overtaken
+    (data / "raw/a.csv").write_text("rent_id\n3\n")
+    bronze.run(store, str(data), ["a"], sources)
+    assert [r[0] for r in rents(store)] == [2, 3]
+    late.clear()
+    store.remove(RENTS, sources["b"].path)
+    late.clear()
+    with pytest.raises(ConstraintError, match="other files"):
+        bronze.run(store, str(data), ["c"], sources)  # b, with the same key, comes in between
+    assert [r[0] for r in rents(store)] == [2, 3]
+
+
+def test_reset_and_purge(place, monkeypatch):
+    from orewright import manage
+
+    store, data = place
+    put(data, "rent_data", "rent_id\n1\n")
+    bronze.run(store, str(data), ["rent_data"])
+    args = ["rent_data", "--warehouse", store.root]
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert manage.main(["reset", *args]) == 1 and store.exists(RENTS)
+    assert manage.main(["reset", "--yes", *args]) == 0 and not store.exists(RENTS)
+    bronze.run(store, str(data), ["rent_data"])
+    assert manage.main(["purge", "--yes", "--warehouse", store.root]) == 0 and not store.files.exists(store.root)

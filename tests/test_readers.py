@@ -27,7 +27,7 @@ def test_empty_short_and_blank(spark, tmp_path):
     assert csv(spark, tmp_path, b'a,b,c\n1,,""\n2\n\n   \n3,4,5\n')[1] == [("1", None, None), ("2", None, None), ("3", "4", "5")]
 
 
-@pytest.mark.parametrize("raw", [b"a,b\n1,2,3\n", b"a,b\n1,\xe9\n"])
+@pytest.mark.parametrize("raw", [b"a,b\n1,2,3\n", b"a,b\n1,\xe9\n", b"a,b\n1,2,\n", b'a,b\n"1,""x",2,\n', b"a\n1,\n"])
 def test_long_rows_and_latin1_fail(spark, tmp_path, raw):
     with pytest.raises(Exception, match="more fields|not UTF-8"):
         csv(spark, tmp_path, raw)
@@ -78,3 +78,20 @@ def test_no_features(spark, tmp_path, doc):
 def test_broken_documents_fail(spark, tmp_path, doc):
     with pytest.raises(Exception):  # noqa: B017, PT011
         geo(spark, tmp_path, doc)
+
+
+def test_commas_in_quotes_are_no_fields(spark, tmp_path):
+    assert csv(spark, tmp_path, b'a,b,c\n"1,2,3,4"\n"x ""y"", z","q,r"\n')[1] == [("1,2,3,4", None, None), ('x "y", z', "q,r", None)]
+
+
+def test_names_in_order_of_sight_and_geometry_as_it_stands(spark, tmp_path):
+    doc = '{"features": [{"properties": {"z": 1, "a": [1,  {"k": "x  y"}]}, "geometry": {"type": "Point",\n "coordinates": [-33.0, 1e2]}}, {"properties": {"m": 0.10, "a": null}, "geometry": null}]}'
+    path = tmp_path / "x.geojson"
+    path.write_text(doc)
+    df = readers.read(spark, "geojson", str(path))
+    assert df.columns == ["z", "a", "m", "geometry_type", "geometry"]
+    first, second = df.collect()
+    assert first.a == '[1,{"k":"x  y"}]' and first.geometry == '{"type":"Point","coordinates":[-33.0,1e2]}' and second.m == "0.10"
+    (tmp_path / "y.geojsonl").write_text('{"properties": {"b": 1}}\n\n{"properties": {"a": "x"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}\n')
+    df = readers.read(spark, "geojson_lines", str(tmp_path / "y.geojsonl"))
+    assert df.columns == ["b", "a", "geometry_type", "geometry"] and sorted(tuple(r) for r in df.na.fill("").collect()) == [("", "x", "Point", '{"type":"Point","coordinates":[1,2]}'), ("1", "", "", "")]

@@ -26,3 +26,8 @@ def test_dsn_quotes(monkeypatch):
     assert settings.postgres_dsn() == "postgresql://a+b:p%40ss%2Fw@h:5432/postgres"
     assert settings.credentials("postgres") == ("a b", "p@ss/w")
     assert settings.jdbc_options("x.y")["dbtable"] == "x.y"
+
+
+def test_env_lines():
+    text = "A=1 # why\nB='a # b'\nC=\"x y\" # z\n#D=1\n E = 5 \nA=2\nF\n=g\nH=\n"
+    assert settings.parsed_env(text) == {"A": "1", "B": "a # b", "C": "x y", "E": "5", "H": ""}
