@@ -20,7 +20,14 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge(pages, URL_RULES, urls.fit(urls.seed_labels(pages)))
+    return urls.judge(pages, URL_RULES, urls.fit(urls.labelled_urls(spark)))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1: host, path, and the rule that fits."""
+    split = _table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    rule, action = urls.rule_of(F.col("host"), F.col("path"), URL_RULES)
+    return split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +68,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_sharding, op4_lm_scoring, op5_sentencepiece, op6_quality_classifier, op7_pii, op8_simhash, op9_license_scan, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_sharding, op4_lm_scoring, op5_sentencepiece, op6_quality_classifier, op7_pii, op8_simhash, op9_license_scan, op10_embedding_dedup, url_rules)}
 
 
 OP2_SQL = r"""
@@ -87,20 +94,32 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 
 
 def _op9_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licences.TEMPLATES)
-    plain = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+    rows = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in t)) for k, t in enumerate(sorted(licences.TEMPLATES)))
+    words = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    joined = "list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])"
     return rf"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-unit AS (SELECT r, unnest(list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10))))) AS u FROM doc),
-words AS (SELECT r, row_number() OVER () AS k, string_split({plain.format("u")}, ' ') AS w FROM unit),
-b AS (SELECT r, k, {pairs} AS b FROM words WHERE len(w) > 1),
-t AS (SELECT name, {pairs} AS b FROM (SELECT name, string_split({plain.format("body")}, ' ') AS w FROM (VALUES {rows}) v(name, body))),
-scored AS (SELECT r, k, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) BETWEEN 0.6 * len(t.b) AND 1.6 * len(t.b)),
-hit AS (SELECT DISTINCT ON (k) r, k, name, dice FROM scored WHERE dice >= 0.8 ORDER BY k, dice DESC, name),
-best AS (SELECT DISTINCT ON (r) r, name AS licence, dice FROM hit ORDER BY r, dice DESC, name),
+b AS (SELECT r, {joined} AS b FROM (SELECT r, {words.format("text")} AS w FROM doc) WHERE len(w) > 1),
+t AS (SELECT k, name, list_distinct({joined}) AS t, len(list_distinct({joined})) AS n, len(w) - 1 AS width, greatest(1, len(w) // 8) AS step FROM (SELECT k, name, {words.format("body")} AS w FROM (VALUES {rows}) v(k, name, body))),
+pair AS (SELECT r, k, greatest(len(b) - width, 0) AS last FROM (SELECT r, k, b, t, n, width FROM (SELECT r, b, list_distinct(b) AS d FROM b) x, t WHERE 3 * len(list_intersect(t, d)) >= 2 * n)),
+win AS (SELECT r, k, least(unnest(range(0, ceil(last / step)::BIGINT + 1)) * step, last) AS start FROM pair JOIN t USING (k)),
+scored AS (SELECT r, k, name, n, start, start + least(width, len(b)) + 1 AS stop, 2 * len(list_intersect(t, list_distinct(b[start + 1:start + width]))) / (len(list_distinct(b[start + 1:start + width])) + n) AS dice FROM win JOIN b USING (r) JOIN t USING (k)),
+best AS (SELECT DISTINCT ON (r, k) * FROM scored ORDER BY r, k, dice DESC, start),
+good AS (SELECT * FROM best WHERE dice >= 0.8),
+hit AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good o WHERE o.r = g.r AND o.start < g.stop AND g.start < o.stop AND (o.dice > g.dice OR o.dice = g.dice AND (o.n > g.n OR o.n = g.n AND o.k < g.k)))),
+top AS (SELECT DISTINCT ON (r) r, name AS licence, dice FROM hit ORDER BY r, dice DESC, n DESC, k),
 every AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(DISTINCT name)), ',') AS licences FROM hit GROUP BY r)
-SELECT doc_id, licence, coalesce(round(dice, 6), 0)::DOUBLE AS dice, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences FROM doc LEFT JOIN best USING (r) LEFT JOIN every USING (r)
+SELECT doc_id, licence, coalesce(round(dice, 6), 0)::DOUBLE AS dice, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences FROM doc LEFT JOIN top USING (r) LEFT JOIN every USING (r)
+"""
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{act}', '{h}', '{p}')" for act, h, p in URL_RULES)
+    return rf"""
+WITH split AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+fits AS (SELECT DISTINCT ON (r) r, h || p AS rule, act AS action FROM split, (VALUES {rows}) v(act, h, p) WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p) ORDER BY r, length(h || p) DESC)
+SELECT page_id, host, path, rule, action FROM split LEFT JOIN fits USING (r)
 """
 
 
@@ -116,4 +135,4 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, coalesce(vec_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_license_scan": _op9_sql(), "op10_embedding_dedup": OP10_SQL}
+    return {"url_rules": _rules_sql(), "op2_decontamination": OP2_SQL, "op9_license_scan": _op9_sql(), "op10_embedding_dedup": OP10_SQL}

@@ -11,7 +11,8 @@ rows a training URL at most and is broadcast on that bound.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and the model's verdict on an empty
 URL; without labelled URLs of both kinds every score is the share of label 1 (0 if there are none); null labels are no
-labels; repeated rows each get their verdict.
+labels; repeated rows each get their verdict; an empty table gives an empty table; a long URL is read whole.
+``labelled_urls`` generates a training table for where there is no better one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -206,14 +207,34 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model, page_id: str = "pag
     return score(split, model, "url", "host", "path", plan=plan).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, said).alias("verdict"), "score")
 
 
-#: Words that mark a host as one to block. They label training URLs only and are no features.
-SEEDS = ("adult", "ads-", "bets", "casino", "pills", "spam", "xxx", "porn", "viagra", "lottery")
-
-
-def seed_labels(pages: DataFrame, url: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """(url, label): 1 for hosts that hold a seed word."""
-    host = host_of(F.col(url))
-    found = F.lit(False)
-    for s in seeds:
-        found = found | host.contains(s)
-    return pages.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), found.cast("int").alias("label"))
+#: What the generated training URLs are made of.
+PLAIN = ("news", "garden", "museum", "river", "school", "music", "health", "travel", "market", "library", "science", "photo", "sport", "forum", "recipe", "weather", "history", "design", "local", "nature")
+BAIT = ("secure", "login", "account", "verify", "update", "free", "bonus", "prize", "cheap", "deal", "win", "cash", "click", "offer", "best", "online")
+GOOD_ENDS, BAD_ENDS = ("com", "org", "net", "edu", "de", "fr", "es", "co.uk"), ("com", "net", "info", "xyz", "top", "click", "ru", "biz")
+
+
+def labelled_urls(spark: SparkSession, rows: int = 20_000, seed: int = 1) -> DataFrame:
+    """(url, label): generated URLs, half of them (label 1) in the forms that studies of unwanted and malicious sites describe:
+    hyphenated and random hosts, bare addresses, deep subdomains, long paths and many parameters. Every tenth URL of either
+    kind has the host of the other, so nothing gives the label away. Fixed by the seed."""
+    draw = lambda what: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(what)), F.lit(1 << 30))
+    share = lambda what: draw(what) / float(1 << 30)
+    one = lambda what, of: F.element_at(F.array(*map(F.lit, of)), (draw(what) % len(of) + 1).cast("int"))
+    noise = lambda what, n: F.substring(F.sha2(draw(what).cast("string"), 256), 1, n)
+    odd = lambda what, p, text, rest="": F.when(share(what) < p, text).otherwise(rest)
+    lead = F.when(share("lead") < 0.25, "www.").when(share("lead") < 0.35, "m.").when(share("lead") < 0.45, "blog.").otherwise("")
+    good_host = F.concat(lead, one("a", PLAIN), odd("two", 0.4, one("b", PLAIN)), odd("dash", 0.03, F.concat(F.lit("-"), one("c", PLAIN))), odd("site", 0.3, F.concat(F.lit("."), one("d", PLAIN))), F.lit("."), one("end", GOOD_ENDS))
+    compound = F.concat(odd("sub", 0.3, lead), one("e", (*BAIT, *PLAIN)), F.lit("-"), one("f", (*BAIT, *PLAIN)), odd("third", 0.3, F.concat(F.lit("-"), one("g", BAIT))), odd("digits", 0.2, (draw("h") % 1000).cast("string")), odd("under", 0.3, F.concat(F.lit("."), one("i", PLAIN))))
+    random = F.concat(noise("j", 9), odd("more", 0.5, noise("k", 7)))
+    deep = F.concat_ws(".", one("l", BAIT), one("m", BAIT), noise("n", 6), one("o", PLAIN))
+    address = F.concat_ws(".", *[(draw(x) % 223 + 1).cast("string") for x in "pqrs"])
+    bad_name = F.concat(F.when(share("kind") < 0.6, compound).when(share("kind") < 0.8, random).otherwise(deep), F.lit("."), one("t", BAD_ENDS))
+    bad_host = F.when(share("ip") < 0.08, address).otherwise(bad_name)
+    good_path = F.concat(F.lit("/"), one("u", ("en", "de", "fr", "es", "about", "post", "2021/04")), F.lit("/"), (draw("v") % 1000).cast("string"), odd("html", 0.2, F.lit(".html")), odd("slash", 0.2, F.lit("/")), odd("par", 0.25, F.lit("?page=2&ref=x")), odd("utm", 0.1, F.lit("?utm_source=feed")), odd("top", 0.15, F.lit("#top")))
+    bad_path = F.concat(F.lit("/"), one("w", BAIT), odd("deeper", 0.4, F.concat(F.lit("/"), noise("x", 12))), odd("php", 0.4, F.lit(".php")), odd("q", 0.4, F.concat(F.lit("?id="), noise("y", 16), F.lit("&s="), draw("z").cast("string"), F.lit("&r=1"))))
+    label = (draw("label") % 2 == 1).cast("int")
+    swapped = share("swap") < 0.1
+    host = F.when((F.col("label") == 1) != swapped, bad_host).otherwise(good_host)
+    path = F.when((F.col("label") == 1) & (share("path") < 0.5), bad_path).otherwise(good_path)
+    made = spark.range(rows).withColumn("label", label)
+    return made.select(F.concat(F.when(share("tls") < 0.6, "https://").otherwise("http://"), host, path).alias("url"), "label")

@@ -33,13 +33,17 @@ def data(n=600):
     return out
 
 
+def labelled(df):
+    return df.select("url", F.col("url").contains("casino-").cast("int").alias("label"))
+
+
 ODD = ["http://a.net", "HTTP://A.NET/", "x://EXAMPLE.net/en/1", "://net/", "no scheme", "", None, "a://b://c.net/d", "http://ÄÉ.org/fr/x", "http://sub.example.com/de/?q#f", "http://example.com/de", "http://notexample.com/de/", "http://h?/x://y", "http://h/" + "a" * 50_000]
 
 
 def test_hosts_rules_and_verdicts(spark):
     rows = data() + [(1000 + k, u, "x") for k, u in enumerate(ODD)] + [(None, "http://a.net/", "x"), (0, data(1)[0][1], "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string").repartition(3)
-    model = urls.fit(urls.seed_labels(df))
+    model = urls.fit(labelled(df))
     got = urls.judge(df, RULES, model).collect()
     assert len(got) == len(rows)
     by = {r[0]: r[1] for r in rows}
@@ -54,7 +58,7 @@ def test_hosts_rules_and_verdicts(spark):
 def test_trees_score_held_out_urls(spark):
     rows = data(900)
     train, test = spark.createDataFrame(rows[:600], "page_id long, url string, x string"), spark.createDataFrame(rows[600:], "page_id long, url string, x string")
-    got = urls.judge(test, [], urls.fit(urls.seed_labels(train))).collect()
+    got = urls.judge(test, [], urls.fit(labelled(train))).collect()
     assert sum((r.verdict == "block") == (r.page_id % 5 == 0) for r in got) > 0.95 * len(got)
 
 
@@ -72,4 +76,17 @@ def test_no_labels_and_empty(spark):
     df = spark.createDataFrame(data(20), "page_id long, url string, x string")
     for labelled in (df.limit(0).select("url", F.lit(1).alias("label")), df.select("url", F.lit(0).alias("label"))):
         assert {r.score for r in urls.judge(df, RULES, urls.fit(labelled)).collect()} == {0.0}
-    assert urls.judge(df.limit(0), RULES, urls.fit(urls.seed_labels(df))).count() == 0
+    assert urls.judge(df.limit(0), RULES, urls.fit(labelled(df))).count() == 0
+
+
+def test_generated_labels_tell_hosts_never_seen(spark):
+    train, test = urls.labelled_urls(spark, 6000, seed=1), urls.labelled_urls(spark, 3000, seed=2)
+    assert 0.4 < train.agg(F.avg("label")).first()[0] < 0.6
+    seen = train.select(urls.host_of(F.col("url")).alias("host")).distinct()
+    fresh = test.withColumn("host", urls.host_of(F.col("url"))).join(seen, "host", "left_anti").withColumn("page_id", F.monotonically_increasing_id())
+    rows = fresh.select("page_id", "url", "label").collect()
+    by = {r.page_id: r.label for r in rows}
+    got = urls.judge(spark.createDataFrame([(r.page_id, r.url) for r in rows], "page_id long, url string"), [], urls.fit(train)).collect()
+    right = sum((r.verdict == "block") == (by[r.page_id] == 1) for r in got) / len(got)
+    assert len(got) > 1000 and right > 0.85  # a tenth of the hosts are swapped
+    assert train.collect() == urls.labelled_urls(spark, 6000, seed=1).collect()
