@@ -15,7 +15,8 @@ The driver sees only counts by shard. No task gets a whole group or shard: the j
 combined before they are shuffled, and numbering works on hash buckets of bounded size.
 
 Defined cases: null texts have size 1 (nought bytes plus 1), checksum 0 and no links; equal empty texts are a group like any
-other; null and repeated ids are rows of their own; fewer rows than shards leave shards empty; links that name no row, or
+other; null and repeated ids are rows of their own; rows with equal ids and texts are interchangeable, all else is settled by
+content and not by how the input is split; fewer rows than shards leave shards empty; links that name no row, or
 a row and itself, do nothing; other columns are ignored.
 """
 
@@ -42,7 +43,7 @@ def star(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
     The first rows are written before the join: it then has nothing but exchanges under it, and a hot key can be split.
     """
-    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("__k"), "a")
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("row", F.struct("seed", "row")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("__k"), "a")
     return rows.join(scratch.save(first), F.col(key) == F.col("__k")).where("row <> a").select("a", F.col("row").alias("b"))
 
 
@@ -50,11 +51,12 @@ def _choice(values: list[int | float], of: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), of + 1)
 
 
-def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan = Plan()) -> DataFrame:
-    """(row, shard) for every row that ``links`` (a, b) names."""
+def propagate(links: DataFrame, seeds: DataFrame, quota: list[int], scratch: Scratch, plan: Plan = Plan()) -> DataFrame:
+    """(row, shard) for every row that ``links`` (a, b) names. seeds: (row, seed), from which all that is drawn by lot is hashed."""
     k = len(quota)
     both = scratch.save(links.where("a <> b").union(links.where("a <> b").select("b", "a")).distinct().toDF("row", "near"))
-    state = scratch.save(both.select("row").distinct().withColumn("shard", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(k)).cast("int")))
+    state = seeds.join(both.select("row").distinct(), "row", "left_semi").select("row", "seed")
+    state = scratch.save(state.withColumn("shard", F.pmod(F.xxhash64("seed", F.lit(3)), F.lit(k)).cast("int")))
     still = 0
     for turn in range(plan.rounds):
         held = [0] * k
@@ -64,9 +66,9 @@ def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan =
         seen = both.join(state.select(F.col("row").alias("r"), F.col("shard").alias("to")), F.col("near") == F.col("r")).groupBy("row", "to").agg(F.count(F.lit(1)).alias("n"))
         fits = F.lit(turn % 4 < 2) | (F.col("to") == F.col("shard")) | (_choice(room, F.col("to")) > 0)
         own = seen.join(state.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).withColumn("open", fits)
-        best = own.groupBy("row", "shard").agg(F.max(F.when(F.col("open"), F.struct("n", F.pmod(F.col("to") + F.lit(turn), F.lit(k)).alias("tie"), "to"))).alias("top"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"))
-        its_turn = F.pmod(F.xxhash64("row", F.lit(5 + 1000 * turn)), F.lit(2)) == 0
-        wish = scratch.save(best.select("row", "shard", F.when(F.col("top.n") > F.col("here"), F.col("top.to")).alias("want")).withColumn("to", F.when(its_turn, F.col("want"))))
+        best = own.groupBy("row", "seed", "shard").agg(F.max(F.when(F.col("open"), F.struct("n", F.pmod(F.col("to") + F.lit(turn), F.lit(k)).alias("tie"), "to"))).alias("top"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"))
+        its_turn = F.pmod(F.xxhash64("seed", F.lit(5 + 1000 * turn)), F.lit(2)) == 0
+        wish = scratch.save(best.select("row", "seed", "shard", F.when(F.col("top.n") > F.col("here"), F.col("top.to")).alias("want")).withColumn("to", F.when(its_turn, F.col("want"))))
         asked = [[0] * k for _ in range(k)]
         for i, j, n in wish.where("to is not null").groupBy("shard", "to").count().collect():
             asked[i][j] = n
@@ -84,33 +86,33 @@ def propagate(links: DataFrame, quota: list[int], scratch: Scratch, plan: Plan =
         if still == 8:
             scratch.drop(wish)
             break  # the wishes that are left don't fit the quotas
-        lucky = F.pmod(F.xxhash64("row", F.lit(100 + turn)), F.lit(1 << 20)) < _choice(share, F.col("shard") * k + F.col("to")) * float(1 << 20)
-        moved = scratch.save(wish.select("row", F.when(F.col("to").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        lucky = F.pmod(F.xxhash64("seed", F.lit(100 + turn)), F.lit(1 << 20)) < _choice(share, F.col("shard") * k + F.col("to")) * float(1 << 20)
+        moved = scratch.save(wish.select("row", "seed", F.when(F.col("to").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         scratch.drop(state, wish)
         state = moved
     scratch.drop(both)
-    return state
+    return state.select("row", "shard")
 
 
 def place(rows: DataFrame, links: DataFrame, scratch: Scratch, plan: Plan = Plan()) -> DataFrame:
-    """``rows`` (with a unique long ``row``) and the shard of each; counts at most one apart."""
+    """``rows`` (with a unique long ``row`` and a ``seed``) and the shard of each; counts at most one apart."""
     k, total = plan.shards, rows.count()
     links = scratch.save(links)
-    linked = propagate(links, [total // k] * k, scratch, plan)
+    linked = propagate(links, rows.select("row", "seed"), [total // k] * k, scratch, plan)
     held = [0] * k
     for s, n in linked.groupBy("shard").count().collect():
         held[s] = n
     more = sorted(range(k), key=lambda s: (-held[s], s))[: total % k]
     quota = [total // k + (s in more) for s in range(k)]
     over = [max(0, h - q) for h, q in zip(held, quota)]
-    free = rows.join(linked, "row", "left_anti").select("row")
+    free = rows.join(linked, "row", "left_anti").select("row", "seed")
     stay = linked
     if any(over):
-        full = linked.where(F.col("shard").isin([s for s in range(k) if over[s]]))
-        ranked = scratch.save(dense_rank_in(full, F.col("shard"), [F.xxhash64("row", F.lit(9)), F.col("row")], "rank"))
-        out = ranked.where(F.col("rank") < _choice(over, F.col("shard"))).select("row")
+        full = linked.where(F.col("shard").isin([s for s in range(k) if over[s]])).join(rows.select("row", "seed"), "row")
+        ranked = scratch.save(dense_rank_in(full, F.col("shard"), [F.xxhash64("seed", F.lit(9)), F.col("seed"), F.col("row")], "rank"))
+        out = ranked.where(F.col("rank") < _choice(over, F.col("shard"))).select("row", "seed")
         stay, free = linked.join(out, "row", "left_anti"), free.union(out)
-    free = dense_rank_in(free, F.lit(0), [F.col("row")], "rank", rows=total)
+    free = dense_rank_in(free, F.lit(0), [F.col("seed"), F.col("row")], "rank", rows=total)
     at, place_of = 0, F.lit(k - 1)
     bounds = []
     for s in range(k):
@@ -130,14 +132,15 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession)
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     narrow = docs.select(docs[doc_id].alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.md5(docs[text].cast("string").cast("binary")).alias("key"))
-    rows = scratch.save(narrow.withColumn("row", F.monotonically_increasing_id()))
-    edges = star(rows.select("row", "key"), "key", scratch)
+    # the seed comes from the content, so that shards don't depend on how the input is split; row numbers only tell equal rows apart
+    rows = scratch.save(narrow.withColumns({"row": F.monotonically_increasing_id(), "seed": F.xxhash64("doc_id", "key", "size")}))
+    edges = star(rows.select("row", "seed", "key"), "key", scratch)
     if links is not None:
         ids = rows.where("doc_id is not null").select("row", "doc_id")
         a, b = ids.toDF("a", "src"), ids.toDF("b", "dst")
         edges = edges.union(links.toDF("src", "dst").join(a, "src").join(b, "dst").select("a", "b"))
     placed = scratch.save(place(rows.drop("key"), edges, scratch, plan))
-    slotted = dense_rank_in(placed, F.col("shard"), [F.col("row")], "slot")
+    slotted = dense_rank_in(placed, F.col("shard"), [F.col("seed"), F.col("row")], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
