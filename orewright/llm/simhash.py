@@ -4,8 +4,9 @@ Fingerprints: 64 majority bits over the XXH64 (seed 42) of every word shingle. L
 fingerprints at most ``radius`` bits apart, found exactly. Tiles hold fingerprints with equal population counts in
 each of four 16-bit blocks; two tiles can only hold a link if their counts differ by at most the radius in sum, so all
 other tile pairs are skipped. Within a tile pair numpy compares blocks with exclusive-or and bit counts. Tiles above
-``tile_rows`` are cut by hash and met piece by piece, so no task holds an unbounded group. Each task returns a spanning
-forest of its links, never all pairs of a group.
+``tile_rows`` are cut by hash and met piece by piece, and the visitors of a tile are dealt over parts of ``guest_rows``, so no
+group has an unbounded number of rows. Each task returns a spanning forest of its links, never all pairs of a group. The work is
+that of the method: visits grow with the number of tiles, a group of 65,536 from some 40 million distinct fingerprints on.
 
 Defined cases: a null or wordless text has fingerprint zero and links with its like; equal fingerprints are one node
 whatever their number; null ids take part, and a component's id is the smallest id that isn't null (null if there is
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, partitions, pick, tidy, utf8
+from .common import Forest, Scratch, pick, tidy, utf8
 from .components import components
 
 BLOCKS, BITS = 4, 16
@@ -53,8 +54,8 @@ def fingerprint(text: bytes | None, words_each: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words_each: int = 3, name: str = "fp") -> DataFrame:
-    """The ``keep`` columns of ``docs`` and the fingerprint (long, two's complement) of every row."""
-    keep = list(docs.columns) if keep is None else keep
+    """The ``keep`` columns of ``docs`` and the fingerprint (long, two's complement) of every row; a column of its name goes."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     narrow = docs.select(docs[text].cast("string").alias("__text"), *[docs[c] for c in keep])
     schema = docs.select(*[docs[c] for c in keep]).schema.add(name, "long")
 
@@ -80,24 +81,40 @@ def _mix(fp: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _deal(sizes: np.ndarray, radius: int, tile_rows: int):
+def _key(cell: np.ndarray, tile: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (cell << 24 | tile) << 20 | part
+
+
+def _deal(sizes: np.ndarray, radius: int, tile_rows: int, guest_rows: int):
     """Sends every fingerprint to its own tile (home) and, as a visitor, to each tile it could have a link in."""
+    guests = np.zeros(CELLS, dtype=np.int64)
+    counts_of = np.stack([np.arange(CELLS) // p % BASE for p in _POWERS], axis=1)
     steps = [d for d in product(range(-radius, radius + 1), repeat=BLOCKS) if sum(map(abs, d)) <= radius and np.dot(d, _POWERS) > 0]
     tiles = np.maximum(1, -(-sizes // tile_rows)).astype(np.int64)
+    for d in steps:
+        moved = counts_of + np.array(d)
+        fits = ((moved >= 0) & (moved <= BITS)).all(axis=1)
+        np.add.at(guests, moved[fits] @ _POWERS, sizes[fits])
+    guests += np.where(tiles > 1, sizes, 0)
+    parts = np.maximum(1, -(-guests // guest_rows)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             counts = cells_of(fp)
             cell = counts @ _POWERS
-            own = (_mix(fp) % tiles[cell].astype(np.uint64)).astype(np.int64)
-            keys, guests, values = [cell * (1 << 24) + own], [np.zeros(len(fp), dtype=bool)], [fp]
+            mixed = _mix(fp)
+            own = (mixed % tiles[cell].astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(fp)), parts[cell])  # home rows are in every part
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
+            keys, guests, values = [_key(cell[at], own[at], nth)], [np.zeros(len(at), dtype=bool)], [fp[at]]
 
             def visit(to: np.ndarray, first: np.ndarray, who: np.ndarray) -> None:
                 n = tiles[to] - first
                 rows = np.repeat(np.arange(len(to)), n)
                 nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                keys.append(to[rows] * (1 << 24) + first[rows] + nth)
+                part = (_mix(who[rows] ^ 0x5851F42D) >> np.uint64(7)) % parts[to[rows]].astype(np.uint64)
+                keys.append(_key(to[rows], first[rows] + nth, part.astype(np.int64)))
                 guests.append(np.ones(len(rows), dtype=bool))
                 values.append(who[rows])
 
@@ -141,7 +158,7 @@ def _meet(radius: int):
             met = True
             home = np.concatenate(home) if home else np.zeros(0, dtype=np.uint64)
             forest = Forest(np.arange(len(home)))
-            found = list(links(forest, home, home, 0, True)) if len(home) > 1 else []
+            found = list(links(forest, home, home, 0, True)) if len(home) > 1 and not key & (1 << 20) - 1 else []  # once, in part 0
             labels = forest.labels
             return [out(found, home)] if found else []
 
@@ -174,14 +191,14 @@ def _meet(radius: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = 2, tile_rows: int = 4096) -> DataFrame:
+def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = 2, tile_rows: int = 1 << 16, guest_rows: int = 1 << 19) -> DataFrame:
     """(fp, root) for every distinct fingerprint of ``fps`` (column fp, distinct) that has a link."""
     cell = sum((F.bit_count(F.shiftrightunsigned("fp", BITS * k).bitwiseAND(F.lit((1 << BITS) - 1))) * int(_POWERS[k]) for k in range(BLOCKS)), F.lit(0))
     sizes = np.zeros(CELLS, dtype=np.int64)
     for c, n in fps.groupBy(cell.alias("cell")).count().collect():  # at most 17 ** 4 rows, whatever the input
         sizes[c] = n
-    dealt = fps.select("fp").mapInArrow(_deal(sizes, radius, tile_rows), "key long, guest boolean, fp long")
-    met = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "guest").mapInArrow(tidy(_meet(radius)), "u long, v long")
+    dealt = fps.select("fp").mapInArrow(_deal(sizes, radius, tile_rows, guest_rows), "key long, guest boolean, fp long")
+    met = dealt.repartition("key").sortWithinPartitions("key", "guest").mapInArrow(tidy(_meet(radius)), "u long, v long")
     return components(met, scratch).toDF("fp", "root")
 
 
@@ -215,5 +232,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_
     roots = link_fingerprints(each, scratch, radius)
     best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("r"), F.col("root").isNull().alias("single")).agg(F.min("own").alias("best"))
     kept = scratch.save(best.select(F.col("best.c").alias("row")))
-    # always merged: a broadcast at small sizes would hide that the texts are shuffled once
+    # kept rows grow with the corpus, so they are never broadcast
     return wide.join(kept.hint("merge"), "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in columns])

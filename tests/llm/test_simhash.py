@@ -92,7 +92,7 @@ def test_links_of_crowded_tiles(spark, tile_rows):
             for b in fps:
                 if ((a ^ b) & (2**64 - 1)).bit_count() <= 2 and label[a] > label[b]:
                     label[a], changed = label[b], True
-    got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), Scratch(spark), tile_rows=tile_rows)
+    got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), Scratch(spark), tile_rows=tile_rows, guest_rows=4 * tile_rows)
     found = {r.fp: r.root for r in got.collect()}
     assert {f: found.get(f, f) for f in fps} == label
 
