@@ -17,7 +17,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("names", nargs="*", help="sources; all if none is named")
     p.add_argument("--warehouse", default="warehouse")
     p.add_argument("--yes", action="store_true")
-    a = p.parse_args(args)
+    a = p.parse_intermixed_args(args)
     names = bronze.chosen(a.names)
     goal = a.warehouse if a.what == "purge" else ", ".join(names)
     if not a.yes and input(f"{a.what} {goal}? [y/N] ").strip().lower() not in ("y", "yes"):

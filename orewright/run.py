@@ -21,7 +21,7 @@ def parser(text: str | None) -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> int:
     p = parser(__doc__)
     p.add_argument("--silver", action="store_true", help="build the silver schools afterwards")
-    a = p.parse_args(args)
+    a = p.parse_intermixed_args(args)
     bronze.chosen(a.names)
     load_env()
     store = Store(session(), a.warehouse)
