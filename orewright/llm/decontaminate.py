@@ -247,8 +247,9 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """The ``keep`` columns of every row, and n_words, n_hit and items (sorted ids of the items found)."""
-    keep = list(docs.columns) if keep is None else keep
+    """The ``keep`` columns of every row, and n_words, n_hit and items (sorted ids of the items found), which replace older
+    columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items", "places")]
     wide = docs.select(docs[text].cast("string").alias("__text"), *[docs[c] for c in keep])
     kinds = "n_words long, n_hit long, items array<string>, places array<long>"
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)

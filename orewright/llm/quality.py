@@ -145,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The ``keep`` columns of every row and its score (0 to 1, higher: label 1 likelier)."""
-    keep = list(docs.columns) if keep is None else keep
+    """The ``keep`` columns of every row and its score (0 to 1, higher: label 1 likelier), which replaces a column of its name."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     flat = docs.select(docs[text].cast("string").alias("__text"), *[docs[c] for c in keep])
     schema = T.StructType([*flat.drop("__text").schema.fields, T.StructField(name, T.DoubleType())])
 

@@ -188,8 +188,9 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", plan: Plan
 
 
 def score(df: DataFrame, model: Model, url: str, host: str, path: str, name: str = "score", plan: Plan = Plan()) -> DataFrame:
-    """``df`` with the model's probability of label 1; all other columns stay as they are."""
-    columns = df.columns
+    """``df`` with the model's probability of label 1, which replaces a column of its name; all others stay as they are."""
+    columns = [c for c in df.columns if c != name]
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
     inner = df.toDF(*[f"c{k}" for k in range(len(columns))])
     at = lambda c: f"c{columns.index(c)}"
     ready = with_suffixes(lexical(inner, at(url), at(host), at(path)), model.suffixes, plan, model.share)
