@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +212,36 @@ def test_stops_near_schools(spark):
     assert got[3].nearest_stop_id is None and got[4].n_within == 0
 
 
+def test_stops_near_many_schools_at_few_points(spark):
+    """60,000 schools and 60,000 stops at 40 points each: 3,600,000,000 pairs, all within reach; minutes if each is met."""
+    at = lambda k, step: (F.lit(-33.8) + (k % 40) / step).alias("latitude")
+    k = F.col("id")
+    a = spark.range(60_000).select(k.alias("school_code"), at(k, 8000.0), F.lit(151.0).alias("longitude"))
+    b = spark.range(60_000).select((k + 7).alias("stop_id"), at(k, 9000.0).alias("lat"), F.lit(151.0).alias("lon"))
+    began = time.time()
+    got = {r.school_code: r for r in stops.near(a, b).collect()}
+    assert time.time() - began < 30
+    distance = lambda y, lat: 2 * stops.EARTH_M * math.asin(math.sin(math.radians(abs(y - lat)) / 2))
+    for s in (0, 1, 39, 59_999):
+        d = {p: distance((s % 40) / 8000, p / 9000) for p in range(40)}
+        low = min(d, key=d.get)
+        assert got[s].nearest_stop_id == low + 7 and abs(got[s].nearest_m - d[low]) < 0.01
+        assert got[s].n_within == 1500 * sum(x <= 300 for x in d.values())
+    assert len(got) == 60_000
+
+
+def test_nearest_stop_beyond_the_counted_ones(spark):
+    """Every ring of the search, its ends and points that meet no stop; equal points, equal schools and equally near stops."""
+    degree = math.pi * stops.EARTH_M / 180
+    far = [10, 299.9, 300.1, 599, 601, 1199, 1201, 1999.9, 2000.1, 5000]
+    a = spark.createDataFrame([(k, 0.5 * k, 10.0) for k in range(len(far))] + [(0, 0.5, 10.0), (90, None, 10.0), (91, 0.0, 10.0)], "school_code int, latitude double, longitude double")
+    b = spark.createDataFrame([(100 + 2 * k + c, 0.5 * k + m / degree, 10.0) for k, m in enumerate(far) for c in (1, 0)], "stop_id int, lat double, lon double")
+    got = {r.school_code: r for r in stops.near(a, b).collect()}
+    assert [got[k].nearest_stop_id for k in range(1, len(far))] == [100 + 2 * k if m <= 2000 else None for k, m in enumerate(far)][1:]
+    assert (got[0].nearest_stop_id, got[0].n_within) == (100, 4) and (got[91].nearest_stop_id, got[91].n_within) == (100, 2)
+    assert [got[k].n_within for k in range(1, len(far))] == [2 * (m <= 300) for m in far[1:]] and got[90].n_within == 0 and got[90].nearest_stop_id is None
+
+
 def test_schools_table_is_what_silver_reads():
     assert {"school_code", *silver.VALUES} <= set(SCHOOLS.names)
 
