@@ -8,14 +8,16 @@ one of 16 buckets of 4 with probability 0.9998). Within a bucket fingerprints ar
 counts, in tiles ordered by population count; tile pairs whose counts differ beyond ``radius`` are skipped. A link is a pair
 found in this way whose sets have a Jaccard similarity of at least ``least``, counted exactly.
 
-Nodes are joined as in Borůvka's algorithm: from each group of linked nodes its nearest candidate in another group is
-verified, and the one that a hash of the round puts first. Rounds go on over buckets that hold several groups, without the
-pairs that have failed, until a round links nothing; from the second on each two groups may try their ``picks`` nearest
-candidates a row. So a group of copies makes few pairs, never all of them.
+Nodes are joined as in Borůvka's algorithm: from each node its nearest candidate in another group is verified, and the one that
+a hash of the round puts first. So a group of copies makes few pairs, never all of them. One such round goes over all buckets,
+more over those that don't fit one tile, while they link. Then every bucket that still holds several groups is settled: the
+sets of the nodes with candidates in other groups go to their tiles, and each pair of candidates that isn't linked by then is
+verified there (``_settle``). No candidate is left out, and rows grow with nodes, not with pairs.
 
-A bucket over ``tile_rows`` is cut into tiles by hash: in the first round each tile is for itself; later all rows outside the
-bucket's largest group visit every tile. So no task holds an unbounded group, and nothing of it goes to the driver. Verifying needs the sets of
-candidates only: a bit map of fixed size of their nodes filters the texts, which aren't shuffled for it.
+A bucket over ``tile_rows``, or ``tile_shingles`` in its sets, is cut into tiles by hash: in the first round each tile is for
+itself; later all rows outside the bucket's largest group visit every tile. So no task holds an unbounded group, and nothing of
+it goes to the driver. Verifying needs the sets of candidates only: a bit map of fixed size of their nodes filters the texts,
+which aren't shuffled for it.
 
 Defined cases: null and wordless texts have the empty set and are one node; texts below ``words_each`` words have one shingle;
 an empty table gives an empty table; null and repeated ids, ties and columns of any names are allowed (see ``keep_one``).
@@ -45,9 +47,8 @@ class Plan:
     radius: int = 38
     bands: int = 16
     rows: int = 4
-    picks: int = 16
     tile_rows: int = 4096
-    rounds: int = 8
+    tile_shingles: int = 1 << 21
 
 
 _MAP_BITS = 26  # of the bit map: 8 MB
@@ -155,35 +156,41 @@ def sketches(docs: DataFrame, text: str, plan: Plan) -> DataFrame:
     return plain.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *T.StructType.fromDDL("node long, fa long, fb long, size int, bands array<long>").fields]))
 
 
-def _meet(plan: Plan, turn: int):
-    """For each row of a tile the nearest candidates with other labels (one in the first round, ``picks`` later), and the first by
-    the round's hash: x, y, their labels, far, rank.
+_ROW = ("key", "tile", "guest", "node", "fa", "fb", "size", "label")
 
-    Rows come sorted by bucket and tile: key, tile, guest, node, fa, fb, size, label.
+
+def _fits(plan: Plan, d, size_a, size_b, label_a, label_b):
+    return (d <= plan.radius) & (label_a != label_b) & (np.minimum(size_a, size_b) >= plan.least * np.maximum(size_a, size_b) - 1e-9)
+
+
+def _meet(plan: Plan, turn: int, all_rows: bool = False):
+    """For each row of a tile the nearest candidate with another label, and the first by the round's hash: x, y, far, rank.
+    With ``all_rows`` the rows themselves that have any candidate with another label.
+
+    Rows come sorted by bucket and tile: ``_ROW``.
     """
     salt = np.uint64((turn + 1) * 0xBF58476D1CE4E5B9 % (1 << 64))
 
-    def fits(d, size_a, size_b, label_a, label_b):
-        return (d <= plan.radius) & (label_a != label_b) & (np.minimum(size_a, size_b) >= plan.least * np.maximum(size_a, size_b) - 1e-9)
-
     def stir(d, key, x, y):
         """After the first round the order of candidates of similar distance varies, so that others are tried."""
         return d + ((_mix(key.view(np.uint64) ^ x ^ y ^ salt) & np.uint64(7)).astype(np.int16) if turn else 0)
 
-    picks = plan.picks if turn else 1
+    def those(rows, some):
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64) if v.dtype == np.uint64 else v[some]) for v in rows.values()], names=list(rows))
 
     def first(rows, x, y, key, d, rank):
         """Of the candidates (x, y) of every row its nearest, and its first by rank."""
         if not len(x):
             return
-        node, label = rows["node"], rows["label"]
+        node = rows["node"]
         d = stir(d, key, node[x].view(np.uint64), node[y].view(np.uint64))
         order = np.lexsort((node[y], d, x))
-        near = order[np.arange(len(x)) - np.searchsorted(x[order], x[order]) < picks]
+        near = order[np.append(True, x[order][1:] != x[order][:-1])]
         order = np.lexsort((node[y], rank[y], x))
         lead = order[np.append(True, x[order][1:] != x[order][:-1])]
         some = np.unique(np.concatenate([near, lead]))
-        yield pa.RecordBatch.from_arrays([pa.array(node[x[some]]), pa.array(node[y[some]]), pa.array(label[x[some]]), pa.array(label[y[some]]), pa.array(d[some].astype(np.int32)), pa.array(rank[y[some]].view(np.int64))], names=["x", "y", "lx", "ly", "far", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[x[some]]), pa.array(node[y[some]]), pa.array(d[some].astype(np.int32)), pa.array(rank[y[some]].view(np.int64))], names=["x", "y", "far", "rank"])
 
     def together(rows, number):
         """Small tiles, all at once: every row with the k-th row after it, as long as both are in the same tile."""
@@ -195,9 +202,11 @@ def _meet(plan: Plan, turn: int):
             a = a[number[a] == number[a + k]]
             b = a + k
             d = (np.bitwise_count(fa[a] ^ fa[b]) + np.bitwise_count(fb[a] ^ fb[b])).astype(np.int16)
-            good = fits(d, size[a], size[b], label[a], label[b]) & ~(guest[a] & guest[b])
+            good = _fits(plan, d, size[a], size[b], label[a], label[b]) & ~(guest[a] & guest[b])
             found.append((a[good], b[good], d[good]))
         x, y, d = (np.concatenate(z) for z in zip(*found)) if found else (a, a, a)
+        if all_rows:
+            return those(rows, np.unique(np.concatenate([x, y])))
         return first(rows, np.concatenate([x, y]), np.concatenate([y, x]), rows["key"][np.concatenate([x, y])], np.concatenate([d, d]), _mix(rows["node"].view(np.uint64) ^ salt))
 
     def blocks(rows):
@@ -214,13 +223,18 @@ def _meet(plan: Plan, turn: int):
             lo, hi = np.searchsorted(count, count[s] - plan.radius), np.searchsorted(count, count[e - 1] + plan.radius, side="right")
             d = np.bitwise_count(fa[s:e, None] ^ fa[None, lo:hi]).astype(np.int16)
             d += np.bitwise_count(fb[s:e, None] ^ fb[None, lo:hi])
-            good = fits(d, size[s:e, None], size[None, lo:hi], label[s:e, None], label[None, lo:hi]) & ~(guest[s:e, None] & guest[None, lo:hi])
+            good = _fits(plan, d, size[s:e, None], size[None, lo:hi], label[s:e, None], label[None, lo:hi]) & ~(guest[s:e, None] & guest[None, lo:hi])
             some, at = np.flatnonzero(good.any(axis=1)), np.arange(e - s)
+            if all_rows:
+                xs.append(some + s)
+                continue
             noisy = stir(d, rows["key"][:1], node[s:e, None].view(np.uint64), node[None, lo:hi].view(np.uint64))
             far = np.where(good, noisy, 9999)
-            for best in (*np.argpartition(far, min(picks, hi - lo) - 1, axis=1)[:, :picks].T, np.where(good, place[None, lo:hi], len(node)).argmin(axis=1)):
+            for best in (far.argmin(axis=1), np.where(good, place[None, lo:hi], len(node)).argmin(axis=1)):
                 fine = some[good[some, best[some]]]
                 xs.append(fine + s), ys.append(best[fine] + lo), ds.append(d[at, best][fine])
+        if all_rows:
+            return those(rows, np.concatenate(xs))
         x, y, d = (np.concatenate(z) for z in (xs, ys, ds))
         return first(rows, x, y, rows["key"][x], d, rank)
 
@@ -232,14 +246,12 @@ def _meet(plan: Plan, turn: int):
         for t in np.unique(number[~small]):
             yield from blocks({k: v[number == t] for k, v in rows.items()})
 
-    names = ("key", "tile", "guest", "node", "fa", "fb", "size", "label")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def ready(last: bool):
             """The whole tiles among what is held; the last one may go on."""
-            rows = {k: np.concatenate([h[k] for h in held]) for k in names}
+            rows = {k: np.concatenate([h[k] for h in held]) for k in _ROW}
             change = np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["tile"][1:] != rows["tile"][:-1]))
             number = np.cumsum(change) - 1
             cut = len(number) if last else int(np.flatnonzero(change)[-1])
@@ -251,7 +263,7 @@ def _meet(plan: Plan, turn: int):
 
         for batch in batches:
             if batch.num_rows:
-                held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+                held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW})
                 if sum(len(h["key"]) for h in held) >= 1 << 16:
                     yield from ready(False)
         if held:
@@ -260,14 +272,121 @@ def _meet(plan: Plan, turn: int):
     return run
 
 
-def _dealt(state: DataFrame, scratch: Scratch, plan: Plan, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Every node in the tiles of its buckets, and what is known of these buckets; only buckets of several labels."""
+class _Tile:
+    """The own rows of a tile with their sets; links of them and of visitors, without those that follow from other links."""
+
+    def __init__(self, plan: Plan, rows: dict):
+        self.plan, count = plan, np.bitwise_count(rows["fa"]).astype(np.int16) + np.bitwise_count(rows["fb"])
+        order = np.argsort(count, kind="stable")
+        self.count = count[order]
+        self.node, self.fa, self.fb, self.size, self.label = (rows[k][order] for k in ("node", "fa", "fb", "size", "label"))
+        self.first = np.append(0, np.cumsum(self.size.astype(np.int64)))
+        self.known, self.ids = np.unique(np.concatenate([rows["members"][k] for k in order]), return_inverse=True)
+        self.mark, self.moved = np.zeros(len(self.known), dtype=np.int64), {}
+
+    def now(self, label: int) -> int:
+        while label in self.moved:
+            label = self.moved[label]
+        return label
+
+    def tried(self, node: int, label: int, size: int, ids: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Verifies a row of ``size`` shingles, of which the tile knows ``ids``, against the own rows ``others``."""
+        label = self.now(label)
+        self.mark[ids] = 1
+        part = np.cumsum(self.size[others].astype(np.int64)) >> 20  # some 8 MB at once
+        for k in np.unique(part):
+            some = others[part == k]
+            some = some[self.label[some] != label]
+            if not len(some):
+                continue
+            sizes = self.size[some].astype(np.int64)
+            begin = np.append(0, np.cumsum(sizes)[:-1])
+            at = np.arange(int(sizes.sum())) + np.repeat(self.first[some] - begin, sizes)
+            both = np.add.reduceat(self.mark[self.ids[at]], begin)
+            for y in some[both >= self.plan.least * (size + sizes - both) - 1e-9].tolist():
+                old = int(self.label[y])
+                if old != label:
+                    yield node, int(self.node[y])
+                    self.moved[old] = label
+                    self.label[self.label == old] = label
+        self.mark[ids] = 0
+
+    def within(self) -> Iterator[tuple[int, int]]:
+        for s in range(0, len(self.node), 256):
+            e = min(len(self.node), s + 256)
+            hi = np.searchsorted(self.count, self.count[e - 1] + self.plan.radius, side="right")
+            d = np.bitwise_count(self.fa[s:e, None] ^ self.fa[None, s:hi]).astype(np.int16)
+            d += np.bitwise_count(self.fb[s:e, None] ^ self.fb[None, s:hi])
+            good = _fits(self.plan, d, self.size[s:e, None], self.size[None, s:hi], self.label[s:e, None], self.label[None, s:hi])
+            for k in np.flatnonzero(good.any(axis=1)):
+                x = s + k
+                yield from self.tried(int(self.node[x]), int(self.label[x]), int(self.size[x]), self.ids[self.first[x] : self.first[x + 1]], x + 1 + np.flatnonzero(good[k, k + 1 :]))
+
+    def visit(self, rows: dict) -> Iterator[tuple[int, int]]:
+        for k in range(len(rows["node"])):
+            d = np.bitwise_count(self.fa ^ rows["fa"][k]).astype(np.int16) + np.bitwise_count(self.fb ^ rows["fb"][k])
+            others = np.flatnonzero(_fits(self.plan, d, self.size, rows["size"][k], self.label, self.now(int(rows["label"][k]))))
+            if len(others):
+                members = rows["members"][k]
+                at = np.minimum(np.searchsorted(self.known, members), len(self.known) - 1)
+                yield from self.tried(int(rows["node"][k]), int(rows["label"][k]), int(rows["size"][k]), at[self.known[at] == members], others)
+
+
+def _settle(plan: Plan):
+    """Links (u, v) after which every candidate pair of a tile is linked or has been verified and failed.
+
+    Rows come sorted by bucket, tile and guest: ``_ROW`` and members. Own rows are held, visitors pass by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, tile = None, [], None
+
+        def batch_of(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if pairs := list(found):
+                u, v = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        def full() -> _Tile:
+            return _Tile(plan, {k: [m for h in own for m in h[k]] if k == "members" else np.concatenate([h[k] for h in own]) for k in own[0]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW}
+            rows["fa"], rows["fb"] = rows["fa"].view(np.uint64), rows["fb"].view(np.uint64)
+            rows["members"] = [np.frombuffer(m, dtype=np.uint64) for m in batch.column("members").to_pylist()]
+            change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["tile"][1:] != rows["tile"][:-1])) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if (here := (rows["key"][s], rows["tile"][s])) != at:
+                    if own and tile is None:
+                        yield from batch_of(full().within())
+                    at, own, tile = here, [], None
+                mid = s + int(np.count_nonzero(~rows["guest"][s:e]))
+                if mid > s:
+                    own.append({k: v[s:mid] for k, v in rows.items()})
+                if mid < e and own:
+                    if tile is None:
+                        tile = full()
+                        yield from batch_of(tile.within())
+                    yield from batch_of(tile.visit({k: v[mid:e] for k, v in rows.items()}))
+        if own and tile is None:
+            yield from batch_of(full().within())
+
+    return run
+
+
+def _dealt(state: DataFrame, scratch: Scratch, plan: Plan, turn: int, large: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every node in the tiles of its buckets, and what is known of these buckets; only buckets of several labels, and if
+    ``large`` of several tiles."""
     each = state.select("node", "fa", "fb", "size", "label", F.explode("bands").alias("key"))
+    shingles = F.sum(F.col("size").cast("long")).alias("s")
     if turn:
-        known = each.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
+        known = each.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), shingles).groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
     else:
-        known = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("main", F.lit(None).cast("long"))
-    known = scratch.save(known.select(F.col("key").alias("k"), F.ceil(F.col("n") / plan.tile_rows).cast("int").alias("tiles"), "main"))
+        known = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), shingles).where("n > 1").withColumn("main", F.lit(None).cast("long"))
+    tiles = F.ceil(F.greatest(F.col("n") / plan.tile_rows, F.col("s") / plan.tile_shingles)).cast("int").alias("tiles")
+    known = known.select(F.col("key").alias("k"), tiles, "main")
+    known = scratch.save(known.where("tiles > 1") if large else known)
     own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")).cast("int")
     visits = F.when(F.col("main").isNotNull() & (F.col("label") != F.col("main")) & (F.col("tiles") > 1), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))
     placed = each.join(known, F.col("key") == F.col("k")).withColumn("own", own)
@@ -318,45 +437,50 @@ def _verify(plan: Plan):
 
 def links(nodes: DataFrame, texts: DataFrame, scratch: Scratch, plan: Plan = Plan()) -> DataFrame:
     """(node, root) of every node that has a link. nodes: node, fa, fb, size, bands; texts: node, text."""
-    state = nodes.withColumn("label", F.col("node"))
-    tested, found, sets, roots, idle = None, None, None, None, 0
-    for turn in range(plan.rounds):
-        dealt, known = _dealt(state, scratch, plan, turn)
+    state, found, sets, turn = nodes.withColumn("label", F.col("node")), None, None, 0
+
+    def linked(more: DataFrame) -> None:
+        nonlocal found, state
+        found = more if found is None else found.union(more)
+        label = scratch.save(components(found, scratch).toDF("n", "root"))
+        state = scratch.save(nodes.join(label, F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("root", "node")).drop("n", "root"))
+
+    while True:
+        dealt, known = _dealt(state, scratch, plan, turn, large=turn > 0)
         if known.isEmpty():
             break
         if sets is None:
             wanted = state.select("node", F.explode("bands").alias("key")).join(known, F.col("key") == F.col("k"), "left_semi").select("node").distinct()
             wanted = scratch.save(wanted)
             sets = _sets(texts, wanted, scratch, plan)
-        met = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(tidy(_meet(plan, turn)), "x long, y long, lx long, ly long, far int, rank long")
+        met = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(tidy(_meet(plan, turn)), "x long, y long, far int, rank long")
         pair = met.withColumns({"u": F.least("x", "y"), "v": F.greatest("x", "y")})
-        if tested is not None:
-            pair = pair.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        lead = F.min(F.struct("rank", "u", "v")).alias("lead")
-        near = F.slice(F.array_sort(F.collect_set(F.struct("far", "u", "v"))), 1, plan.picks if turn else 1).alias("near")  # bands * (picks + 1) at most
-        best = pair.groupBy("x").agg(lead, near).select(F.explode(F.concat(F.transform("near", lambda p: F.struct(p["u"], p["v"])), F.array(F.struct("lead.u", "lead.v")))).alias("p"))
+        best = pair.groupBy("x").agg(F.min(F.struct("far", "u", "v")).alias("near"), F.min(F.struct("rank", "u", "v")).alias("lead"))
+        best = best.select(F.explode(F.array(F.struct("near.u", "near.v"), F.struct("lead.u", "lead.v"))).alias("p"))
         pairs = scratch.save(best.select(F.col("p.u").alias("u"), F.col("p.v").alias("v")).distinct())
         a, b = sets.toDF("u", "x"), sets.toDF("v", "y")
         checked = scratch.save(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(tidy(_verify(plan)), "u long, v long, good boolean"))
         n, n_good = checked.agg(F.count(F.lit(1)), F.count_if("good")).first()
         scratch.drop(known, pairs)
-        if not n:
-            break
-        tested = checked if tested is None else tested.union(checked)
-        idle = 0 if n_good else idle + 1
-        if idle == 1 and turn:
-            break
         if not turn:
             nodes = scratch.save(nodes.join(wanted, "node", "left_semi"))  # all others share no bucket with any node
+            state = nodes.withColumn("label", F.col("node"))
+        turn += 1
         if n_good:
-            good = checked.where("good").select("u", "v")
-            found = good if found is None else found.union(good)
-            roots = components(found, scratch)
-            label = scratch.save(roots.toDF("n", "root"))
-            state = scratch.save(nodes.join(label, F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("root", "node")).drop("n", "root"))
-    if roots is None:
+            linked(checked.where("good").select("u", "v"))
+        if 20 * n_good < n or not n:  # only a matter of time: what is left is settled below
+            break
+    if sets is not None:
+        dealt, known = _dealt(state, scratch, plan, turn)
+        apart = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(tidy(_meet(plan, turn, all_rows=True)), dealt.schema)
+        last = apart.join(sets, "node").select(*_ROW, "members").repartition("key", "tile").sortWithinPartitions("key", "tile", "guest")
+        last = scratch.save(last.mapInArrow(tidy(_settle(plan)), "u long, v long"))
+        scratch.drop(known)
+        if not last.isEmpty():
+            found = last if found is None else found.union(last)
+    if found is None:
         return nodes.select("node", F.col("node").alias("root")).where(F.lit(False))
-    return roots
+    return components(found, scratch)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
